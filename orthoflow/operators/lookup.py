@@ -9,7 +9,7 @@ from orthoflow import fixed_values as V
 from orthoflow.functions.text import fold, is_title, is_upper
 
 # Lexicon words up to this length are found by deleted letters, longer ones by segments.
-SHORT_WORD = 12
+SHORT_WORD = 14
 
 
 def lexicon_from_documents(tokens: DataFrame, min_documents: int = 3) -> DataFrame:
