@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
-from orthoflow.functions.text import fold, looks_like_proper_name, should_ignore
+from orthoflow.functions.text import (
+    fold,
+    looks_like_proper_name,
+    match_case,
+    scrub_non_lexical,
+    should_ignore,
+    should_ignore_older,
+    words,
+)
 from orthoflow.operators.lookup import (
     best_candidates,
     classify,
+    classify_two_languages,
     out_of_lexicon,
+    top_suggestions,
 )
 from orthoflow.operators.tokens import document_vocabulary
 from orthoflow.session import broadcast_if_small, cut, spread, spread_lookup
@@ -23,37 +33,79 @@ def judged_words(vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def check_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+def check_words(unknown: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Kind and suggestions for distinct unknown words (``lang``, ``token``, other columns kept).
 
     Names in Title case are reported only for a missing or wrong accent.
     """
-    folds = words.select("lang", fold("token").alias("fold")).distinct()
+    folds = unknown.select("lang", fold("token").alias("fold")).distinct()
     near = best_candidates(folds, lexicon, V.MAX_SUGGESTIONS + 1)
-    return classify(words, near).where((F.col("kind") == "tilde") | ~looks_like_proper_name("token"))
+    return classify(unknown, near).where((F.col("kind") == "tilde") | ~looks_like_proper_name("token"))
 
 
-def find_errors(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Errors of every document: (doc_id, lang, first_pos, key, token, kind, suggestions).
+def _errors(vocabulary: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Errors of a vocabulary table (doc_id, lang, first_pos, key, token).
 
     Known words are removed next to the scan, so only unknown words are stored, shuffled
     and compared with the lexicon, and each distinct one only once.
     """
     lexicon = cut(lexicon.select("lang", "word", "df"), "lexicon")
-    vocabulary = document_vocabulary(spread(documents.select("doc_id", "lang", "text")))
-    unknown = cut(
-        out_of_lexicon(judged_words(vocabulary), broadcast_if_small(lexicon)),
-        "unknown",
-    )
+    unknown = cut(out_of_lexicon(judged_words(vocabulary), broadcast_if_small(lexicon)), "unknown")
     distinct = unknown.groupBy("lang", "token").agg(F.count("*").alias("documents"))
     verdicts = check_words(distinct, lexicon)
-    return spread_lookup(
-        unknown.select("doc_id", "lang", "first_pos", "key", "token", "n"),
-        verdicts,
-        ["lang", "token"],
-        weight="documents",
-        spread_by="doc_id",
+    return spread_lookup(unknown, verdicts, ["lang", "token"], weight="documents", spread_by="doc_id")
+
+
+def find_errors(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Errors of every document: (doc_id, lang, first_pos, key, token, n, kind, suggestions).
+
+    Words are taken once per document by lower-case form, with the casing that comes first.
+    """
+    return _errors(document_vocabulary(spread(documents.select("doc_id", "lang", "text"))), lexicon)
+
+
+def collect_corrections(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Corrections of every document: each distinct casing of an error word is replaced by its
+    first suggestion in the same casing; corrections that change nothing are dropped."""
+    exact = F.array_distinct(words(scrub_non_lexical("text")))
+    vocabulary = (
+        spread(documents.select("doc_id", "lang", "text"))
+        .select("doc_id", "lang", F.posexplode_outer(exact).alias("first_pos", "token"))
+        .where("token is not null")
+        .withColumn("key", F.lower("token"))
+    )
+    return (
+        _errors(vocabulary, lexicon)
+        .withColumn("replacement", match_case("token", F.col("suggestions")[0]))
+        .where("replacement <> token")
+        .select("doc_id", F.col("token").alias("original"), "replacement")
+    )
+
+
+def check_words_two_languages(words_: DataFrame, lexicon: DataFrame, main: list[str], other: list[str]) -> DataFrame:
+    """Distinct words that no locale of either language accepts, with merged suggestions.
+
+    Suggestions of the main language come first; the distance test looks at them only.
+    """
+    judged = words_.where(~should_ignore_older("token"))
+    groups = lexicon.where(F.col("lang").isin(*main, *other)).withColumn(
+        "lang", F.when(F.col("lang").isin(*main), "main").otherwise("other")
+    )
+    groups = cut(groups.groupBy("lang", "word").agg(F.max("df").alias("df")), "lexicon")
+    entries = broadcast_if_small(groups.select("word").distinct())
+    unknown = cut(out_of_lexicon(judged, entries, []).withColumn("fold", fold("token")), "unknown")
+    folds = unknown.select("fold").distinct()
+    both = F.explode(F.array(F.lit("main"), F.lit("other")))
+    near = best_candidates(folds.select(both.alias("lang"), "fold"), groups, V.MAX_SUGGESTIONS + 1)
+    candidates = (
+        unknown.select("token", "fold")
+        .join(near.select("lang", "fold", F.explode("near").alias("c")), "fold")
+        .select("token", "lang", F.col("c.dist").alias("dist"), F.col("c._place").alias("place"), F.col("c.suggestion").alias("suggestion"))
+        .withColumn("accent_only", (F.col("dist") == 0) & (F.lower("token") != F.lower("suggestion")))
     )
+    kinds = classify_two_languages(candidates, ["token"], "main").where("kind is not null")
+    order = ["lang", F.desc("accent_only"), "place"]
+    return kinds.join(top_suggestions(candidates, ["token"], order), "token")
 
 
 def document_results(documents: DataFrame, errors: DataFrame, marking: bool = False) -> DataFrame:
@@ -85,3 +137,63 @@ def document_results(documents: DataFrame, errors: DataFrame, marking: bool = Fa
             "errors",
         )
     )
+
+
+def public_errors(results: DataFrame) -> DataFrame:
+    """Errors as shown to users: without the kind, with a reason only where there is one."""
+    return results.withColumn(
+        "errors",
+        F.transform(
+            "errors",
+            lambda e: F.struct(e["token"].alias("palabra"), e["suggestions"].alias("sugerencias")),
+        ),
+    )
+
+
+def errors_report(results: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """One JSON report per document; details of the marking only where errors exist."""
+    if details is not None:
+        results = results.join(details, "doc_id", "left")
+        detail = F.when(F.col("has_errors"), F.col("details"))
+    else:
+        detail = F.lit(None).cast("string")
+    report = F.struct(
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("generado_en"),
+        F.col("doc_id").alias("id"),
+        F.col("has_errors").alias("tiene_errores"),
+        F.col("total_errors").alias("total_errores"),
+        F.transform(
+            "errors",
+            lambda e: F.struct(
+                e["token"].alias("palabra"), e["kind"].alias("tipo"), e["suggestions"].alias("sugerencias")
+            ),
+        ).alias("errores"),
+        detail.alias("marcacion_detalle"),
+    )
+    return results.select("doc_id", F.to_json(report).alias("report"))
+
+
+def batch_summary(results: DataFrame, group: list[str]) -> DataFrame:
+    """Documents, documents with errors, candidates and confirmed errors per group."""
+    return results.groupBy(*group).agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.col("confirmed") > 0).alias("with_errors"),
+        F.sum("candidates").alias("candidates"),
+        F.sum("confirmed").alias("confirmed"),
+    )
+
+
+def top_marked_words(errors: DataFrame, by: list[str], k: int = 100) -> DataFrame:
+    """The ``k`` words marked in most documents per group."""
+    counts = errors.groupBy(*by, "key").agg(F.count("*").alias("documents"))
+    order = Window.partitionBy(*by).orderBy(F.desc("documents"), "key")
+    return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def word_telemetry(errors: DataFrame, decisions: DataFrame, by: list[str], k: int = 100) -> DataFrame:
+    """Most marked words with the human decision (add, deny) where there is one."""
+    return (
+        top_marked_words(errors, by, k)
+        .join(decisions.select(F.lower("word").alias("key"), "decision").distinct(), "key", "left")
+        .withColumn("decision", F.coalesce("decision", F.lit("open")))
+    )
