@@ -34,6 +34,12 @@ def unit_keys(text: Column | str) -> Column:
     return F.array_distinct(F.concat(runs, F.flatten(F.transform(runs, _parts))))
 
 
+def documents_with_words(documents: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs of a document and a listed word (``key``, lower case) that its text contains."""
+    keys = F.explode_outer(unit_keys("text")).alias("key")
+    return documents.select("doc_id", keys).join(words.select("key").distinct(), "key", "left_semi")
+
+
 def error_word_list(errors: DataFrame) -> DataFrame:
     """Distinct error words per document by lower-case form, the first form kept."""
     first = F.min(F.struct("first_pos", "token"))

@@ -67,7 +67,7 @@ def document_vocabulary(documents: DataFrame, keep: list[str] | None = None) ->
         F.arrays_zip(
             F.col("firsts").alias("first"),
             F.concat(
-                F.transform(F.slice("firsts", 2, 2147483647), lambda x: x["at"]), F.array("total")
+                F.transform(F.slice("firsts", F.lit(2), F.size("firsts")), lambda x: x["at"]), F.array("total")
             ).alias("next_at"),
         ).alias("v"),
     )
