@@ -18,7 +18,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    """The documents; a single small file is spread over the cores."""
+    return spread(table(spark, sf, "documents"))
 
 
 def all_tokens(spark, sf, keep=("doc_id", "lang")):
@@ -27,7 +28,7 @@ def all_tokens(spark, sf, keep=("doc_id", "lang")):
 
 def lexicon(spark, sf):
     """Words of each language that occur in three documents or more."""
-    return cut(lexicon_from_documents(tokens(spread(documents(spark, sf).select("doc_id", "lang", "text")))), "words")
+    return cut(lexicon_from_documents(tokens(documents(spark, sf), ["doc_id", "lang"])), "words")
 
 
 def errors(spark, sf):
@@ -36,7 +37,7 @@ def errors(spark, sf):
 
 def unknown_words(spark, sf):
     """Judged words of each document that the lexicon does not have."""
-    vocabulary = document_vocabulary(spread(documents(spark, sf).select("doc_id", "lang", "text")))
+    vocabulary = document_vocabulary(documents(spark, sf), ["doc_id", "lang"])
     return out_of_lexicon(judged_words(vocabulary), broadcast_if_small(lexicon(spark, sf)))
 
 
@@ -150,10 +151,10 @@ def unknown_cte(source="voc", name_="unk"):
 
 # letters of a word as bits: two words within two edits differ in at most four bits
 MASK = "list_aggregate([1::BIGINT << (ascii(c) % 63) for c in string_split({0}, '')], 'bit_or')"
-CANDIDATES = f"""folds AS (SELECT *, {MASK.format('fold')} AS mask FROM (SELECT DISTINCT lang, strip_accents(lower(token)) AS fold FROM unk)),
-lexf AS (SELECT *, {MASK.format('wf')} AS mask FROM (SELECT lang, word, df, strip_accents(word) AS wf FROM lex)),
+CANDIDATES = f"""folds AS (SELECT *, length(fold) + unnest([-2, -1, 0, 1, 2]) AS m, {MASK.format('fold')} AS mask FROM (SELECT DISTINCT lang, strip_accents(lower(token)) AS fold FROM unk)),
+lexf AS (SELECT *, length(wf) AS m, {MASK.format('wf')} AS mask FROM (SELECT lang, word, df, strip_accents(word) AS wf FROM lex)),
 cand AS (SELECT * FROM (SELECT f.lang, f.fold, l.word AS suggestion, l.df, levenshtein(f.fold, l.wf)::INTEGER AS dist
-  FROM folds f JOIN lexf l ON f.lang = l.lang AND abs(length(f.fold) - length(l.wf)) <= 2
+  FROM folds f JOIN lexf l ON f.lang = l.lang AND f.m = l.m
   AND bit_count(xor(f.mask, l.mask)) <= 4) WHERE dist <= 2),
 rk AS (SELECT w.lang, w.token, c.suggestion, c.dist, (c.dist = 0 AND lower(w.token) <> lower(c.suggestion)) AS acc,
   row_number() OVER (PARTITION BY w.lang, w.token

@@ -78,10 +78,10 @@ w2 AS (SELECT DISTINCT token, {FOLD.format('token')} AS fold FROM tok t WHERE la
   AND NOT (length(token) = 0 OR ({upper('token')} AND length(token) <= 8)
     OR regexp_matches(token, {q(V.ACRONYM)})) AND token NOT IN (SELECT word FROM both2)
   AND NOT (({title('token')} OR {upper('token')}) AND lower(token) IN (SELECT word FROM both2))),
-b2 AS (SELECT *, {MASK.format('wf')} AS mask FROM (SELECT *, strip_accents(word) AS wf FROM both2)),
-f2 AS (SELECT *, {MASK.format('fold')} AS mask FROM (SELECT DISTINCT fold FROM w2)),
+b2 AS (SELECT *, length(wf) AS m, {MASK.format('wf')} AS mask FROM (SELECT *, strip_accents(word) AS wf FROM both2)),
+f2 AS (SELECT *, length(fold) + unnest([-2, -1, 0, 1, 2]) AS m, {MASK.format('fold')} AS mask FROM (SELECT DISTINCT fold FROM w2)),
 c2 AS (SELECT * FROM (SELECT f2.fold, b2.g, b2.word, b2.df, levenshtein(f2.fold, b2.wf) AS dist FROM f2 JOIN b2
-  ON abs(length(f2.fold) - length(b2.wf)) <= 2 AND bit_count(xor(f2.mask, b2.mask)) <= 4) WHERE dist <= 2),
+  ON f2.m = b2.m AND bit_count(xor(f2.mask, b2.mask)) <= 4) WHERE dist <= 2),
 p2 AS (SELECT w2.token, c2.g, c2.word, c2.dist, (c2.dist = 0 AND lower(w2.token) <> c2.word) AS acc,
   row_number() OVER (PARTITION BY w2.token, c2.word ORDER BY c2.g) AS once,
   row_number() OVER (PARTITION BY w2.token, c2.g ORDER BY c2.dist, c2.df DESC, c2.word) AS place

@@ -232,8 +232,10 @@ def title_variants(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def accented_keys(words: DataFrame) -> DataFrame:
-    """Distinct folded keys of accented words and of their safe adjective forms."""
+def accented_keys(words: DataFrame, forms: bool = True) -> DataFrame:
+    """Distinct folded keys of accented words and (``forms``) of their safe adjective forms."""
+    if not forms:
+        return words.where(has_diacritic("word")).select(*_scope(words), fold("word").alias("fold")).distinct()
     return (
         words.select(*_scope(words), F.explode_outer(accented_forms("word")).alias("form"))
         .where("form is not null")
@@ -247,14 +249,14 @@ def drop_masked_forms(words: DataFrame, reference: DataFrame | None = None) -> D
     return _with_masked(words, reference).where("not masked").drop("masked")
 
 
-def _with_masked(words: DataFrame, reference: DataFrame | None) -> DataFrame:
+def _with_masked(words: DataFrame, reference: DataFrame | None, forms: bool = True) -> DataFrame:
     scope = _scope(words)
     plain = ~has_diacritic("word")
-    own = accented_keys(words).withColumn("_own", F.lit(True))
+    own = accented_keys(words, forms).withColumn("_own", F.lit(True))
     marked = words.withColumn("fold", fold("word")).join(own, [*scope, "fold"], "left")
     masked = F.coalesce("_own", F.lit(False))
     if reference is not None:
-        given = accented_keys(reference.select("word")).withColumn("_ref", F.lit(True))
+        given = accented_keys(reference.select("word"), forms).withColumn("_ref", F.lit(True))
         marked = marked.join(given, "fold", "left")
         masked = masked | F.coalesce("_ref", F.lit(False))
     return marked.withColumn("masked", plain & masked).drop("fold", "_own", "_ref")
@@ -268,13 +270,14 @@ def orthography_reasons(
 ) -> DataFrame:
     """Every word with the reason that decides: english, masked, bad_ending or kept.
 
-    ``variant="loanword"`` has no English test and its own list of endings.
+    ``variant="loanword"`` has no English test, its own list of endings, and looks at accented
+    words only, not at their other forms.
     """
     loan = variant == "loanword"
     bad = bad_unaccented("word", (), V.BAD_ENDINGS_LOANWORD) if loan else bad_unaccented("word")
     reason = F.when(F.lit(english and not loan) & looks_english("word"), "english")
     reason = reason.when(F.col("masked"), "masked").when(bad, "bad_ending").otherwise("kept")
-    return _with_masked(words, reference).withColumn("reason", reason).drop("masked")
+    return _with_masked(words, reference, forms=not loan).withColumn("reason", reason).drop("masked")
 
 
 def orthography_filter(words, reference=None, variant="spanish", english=True) -> DataFrame:

@@ -61,7 +61,7 @@ def find_errors(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     Words are taken once per document by lower-case form, with the casing that comes first.
     """
-    return _errors(document_vocabulary(spread(documents.select("doc_id", "lang", "text"))), lexicon)
+    return _errors(document_vocabulary(spread(documents), ["doc_id", "lang"]), lexicon)
 
 
 def collect_corrections(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def collect_corrections(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     first suggestion in the same casing; corrections that change nothing are dropped."""
     exact = F.array_distinct(words(scrub_non_lexical("text")))
     vocabulary = (
-        spread(documents.select("doc_id", "lang", "text"))
+        spread(documents)
         .select("doc_id", "lang", F.posexplode_outer(exact).alias("first_pos", "token"))
         .where("token is not null")
         .withColumn("key", F.lower("token"))

@@ -1,5 +1,6 @@
 """Compare a catalog query with its SQL twin: columns, types, rows and values."""
 
+import datetime
 import math
 
 import duckdb
@@ -22,6 +23,8 @@ def connect(sf):
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 9)
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None).isoformat()
     return v
 
 
@@ -43,7 +46,7 @@ def compare(df, con, sql):
         want = types[n]
         if t.startswith("decimal"):
             ok = want.lower() == t
-        elif t == "timestamp":
+        elif t.startswith("timestamp"):
             ok = want.startswith("TIMESTAMP")
         else:
             ok = TYPES.get(t) == want
