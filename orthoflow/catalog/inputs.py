@@ -28,7 +28,7 @@ def all_tokens(spark, sf, keep=("doc_id", "lang")):
 
 def lexicon(spark, sf):
     """Words of each language that occur in three documents or more."""
-    return cut(lexicon_from_documents(tokens(documents(spark, sf), ["doc_id", "lang"])), "words")
+    return cut(lexicon_from_documents(documents(spark, sf)), "words")
 
 
 def errors(spark, sf):

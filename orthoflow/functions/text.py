@@ -37,10 +37,14 @@ def any_ending(endings: Sequence[str]) -> str:
 
 
 def scrub_non_lexical(text: Column | str) -> Column:
-    """Replace mailto links, e-mail addresses and URLs by a space."""
-    for pattern in (V.MAILTO, V.EMAIL, V.URL):
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+    """Replace mailto links, e-mail addresses and URLs by a space.
+
+    Texts without ``:`` or ``@`` skip the patterns that need these signs.
+    """
+    text = _col(text)
+    no_links = F.when(F.contains(text, F.lit(":")), F.regexp_replace(text, V.MAILTO, " ")).otherwise(text)
+    no_mail = F.when(F.contains(text, F.lit("@")), F.regexp_replace(no_links, V.EMAIL, " ")).otherwise(no_links)
+    return F.regexp_replace(no_mail, V.URL, " ")
 
 
 def words(text: Column | str) -> Column:

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
-from orthoflow.functions.text import fold, is_title, is_upper
+from orthoflow.functions.text import fold, is_title, is_upper, scrub_non_lexical, words
 
 # Lexicon words up to this length are found by deleted letters, longer ones by segments.
 SHORT_WORD = 14
 
 
-def lexicon_from_documents(tokens: DataFrame, min_documents: int = 3) -> DataFrame:
-    """Lexicon of the keys that occur in at least ``min_documents`` documents per language."""
+def lexicon_from_documents(documents: DataFrame, min_documents: int = 3) -> DataFrame:
+    """Lexicon of the keys that occur in at least ``min_documents`` documents per language.
+
+    Repeats inside a document are removed in its row, so one count per word is enough.
+    """
+    keys = F.array_distinct(F.transform(words(scrub_non_lexical("text")), F.lower))
     return (
-        tokens.select("lang", "doc_id", F.col("key").alias("word"))
+        documents.select("lang", F.explode_outer(keys).alias("word"))
+        .where("word is not null")
         .groupBy("lang", "word")
-        .agg(F.count_distinct("doc_id").alias("df"))
+        .agg(F.count("*").alias("df"))
         .where(F.col("df") >= min_documents)
     )
 
@@ -90,7 +97,7 @@ _PROBES = [
 ]
 
 
-def _short_keys(df: DataFrame, word: str) -> DataFrame:
+def _short_keys(df: DataFrame, word: str, scope: list[str]) -> DataFrame:
     """One row per form of ``word`` with none, one or two letters removed."""
     n = F.length(word)
     w, i, j = F.col(word), F.col("_i"), F.col("_j")
@@ -106,10 +113,9 @@ def _short_keys(df: DataFrame, word: str) -> DataFrame:
         )
     )
     return (
-        df.withColumn("_i", F.explode(F.sequence(F.lit(0), n)))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), n)))
-        .where((j > i) | (j == 0) & (i == 0))
-        .withColumn("_key", F.xxhash64(F.lit(0), form))
+        df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))))
+        .withColumn("_j", F.explode(F.sequence(F.when(i > 0, i + 1).otherwise(0), n)))
+        .withColumn("_key", F.xxhash64(*scope, F.lit(0), form))
         .drop("_i", "_j")
     )
 
@@ -118,22 +124,22 @@ def _segment_start(length: Column, i: Column) -> Column:
     return F.floor((i - 1) * length / 3).cast("int")
 
 
-def _segment_key(word: Column, length: Column, i: Column, at: Column) -> Column:
+def _segment_key(scope: list[str], word: Column, length: Column, i: Column, at: Column) -> Column:
     size = _segment_start(length, i + 1) - _segment_start(length, i)
-    return F.xxhash64(length, i, F.substring(word, at + 1, size))
+    return F.xxhash64(*scope, length, i, F.substring(word, at + 1, size))
 
 
-def _long_keys_entry(df: DataFrame, word: str) -> DataFrame:
+def _long_keys_entry(df: DataFrame, word: str, scope: list[str]) -> DataFrame:
     """One row per third of ``word``."""
     n, i = F.length(word), F.col("_i")
     return (
         df.withColumn("_i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-        .withColumn("_key", _segment_key(F.col(word), n, i, _segment_start(n, i)))
+        .withColumn("_key", _segment_key(scope, F.col(word), n, i, _segment_start(n, i)))
         .drop("_i")
     )
 
 
-def _long_keys_probe(df: DataFrame, word: str) -> DataFrame:
+def _long_keys_probe(df: DataFrame, word: str, scope: list[str]) -> DataFrame:
     """One row per place where a third of a lexicon word can stand unchanged."""
     n, m, at = F.length(word), F.col("_m"), F.col("_at")
     probes = F.array(
@@ -146,7 +152,7 @@ def _long_keys_probe(df: DataFrame, word: str) -> DataFrame:
         .where(m > SHORT_WORD)
         .withColumn("_at", _segment_start(m, F.col("_p.i")) + F.col("_p.s"))
         .where((at >= 0) & (at + size <= n))
-        .withColumn("_key", _segment_key(F.col(word), m, F.col("_p.i"), at))
+        .withColumn("_key", _segment_key(scope, F.col(word), m, F.col("_p.i"), at))
         .drop("_p", "_m", "_at")
     )
 
@@ -156,32 +162,36 @@ def candidate_pairs(folds: DataFrame, entries: DataFrame, scope: list[str] = ["l
 
     Two words within distance 2 always share one: either both reach a common form by at most
     two deletions each, or one of three segments of the longer words is unchanged.  So the
-    distance join is an equi join on a 64-bit key and no pair is lost.  A long word has a
-    fixed number of keys, so junk words of any length stay cheap.
+    distance join is an equi join on one 64-bit key and no pair is lost; pairs that only
+    collide in the hash are told apart by ``dist``, which is -1 beyond distance 2 and across
+    scopes.  A long word has a fixed number of keys, so junk words of any length stay cheap.
 
     One word becomes some fifty rows, so the words are spread evenly before that.
     """
     n = F.length("fold")
     parts = int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     folds = folds.select(*scope, "fold").repartition(parts, *scope, "fold")
-    left = _short_keys(folds.where(n <= SHORT_WORD + V.MAX_DISTANCE), "fold").unionByName(
-        _long_keys_probe(folds.where(n > SHORT_WORD - V.MAX_DISTANCE), "fold")
+    left = _short_keys(folds.where(n <= SHORT_WORD + V.MAX_DISTANCE), "fold", scope).unionByName(
+        _long_keys_probe(folds.where(n > SHORT_WORD - V.MAX_DISTANCE), "fold", scope)
     )
     m = F.length("word_fold")
     entries = entries.select(*scope, "word", "word_fold", "df").repartition(parts, *scope, "word_fold")
-    right = _short_keys(entries.where(m <= SHORT_WORD), "word_fold").unionByName(
-        _long_keys_entry(entries.where(m > SHORT_WORD), "word_fold")
+    right = _short_keys(entries.where(m <= SHORT_WORD), "word_fold", scope).unionByName(
+        _long_keys_entry(entries.where(m > SHORT_WORD), "word_fold", scope)
+    )
+    right = right.withColumnsRenamed({c: f"_{c}" for c in scope})
+    same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in scope], F.lit(True))
+    distance = F.levenshtein("fold", "word_fold", V.MAX_DISTANCE)
+    return (
+        left.join(right.hint("shuffle_hash"), "_key")
+        .withColumn("dist", F.when(same, distance).otherwise(-1))
+        .drop("_key", *[f"_{c}" for c in scope])
     )
-    return left.join(right.hint("shuffle_hash"), [*scope, "_key"]).drop("_key")
 
 
 def _near_with_repeats(folds: DataFrame, lexicon: DataFrame, scope: list[str]) -> DataFrame:
-    return (
-        candidate_pairs(folds, suggestion_entries(lexicon, scope), scope)
-        .withColumn("dist", F.levenshtein("fold", "word_fold", V.MAX_DISTANCE))
-        .where("dist >= 0")
-        .withColumnRenamed("word", "suggestion")
-    )
+    pairs = candidate_pairs(folds, suggestion_entries(lexicon, scope), scope)
+    return pairs.where("dist >= 0").withColumnRenamed("word", "suggestion")
 
 
 def near_candidates(folds: DataFrame, lexicon: DataFrame, scope: list[str] = ["lang"]) -> DataFrame:
@@ -209,7 +219,7 @@ def best_candidates(
     )
 
 
-def classify(words: DataFrame, near: DataFrame, scope: list[str] = ["lang"]) -> DataFrame:
+def classify(unknown: DataFrame, near: DataFrame, scope: list[str] = ["lang"]) -> DataFrame:
     """Kind and suggestions of each word.
 
     Accent-only suggestions come first and make the word ``tilde``; otherwise a distance of
@@ -220,7 +230,7 @@ def classify(words: DataFrame, near: DataFrame, scope: list[str] = ["lang"]) ->
     accent = lambda c: (c["dist"] == 0) & (F.lower(c["suggestion"]) != F.lower(F.col("token")))
     ranked = F.concat(F.filter("near", accent), F.filter("near", lambda c: ~accent(c)))
     return (
-        words.withColumn("fold", fold("token"))
+        unknown.withColumn("fold", fold("token"))
         .join(near, [*scope, "fold"])
         .withColumn("kind", F.when(F.exists("near", accent), "tilde").otherwise("ortografia"))
         .withColumn(
