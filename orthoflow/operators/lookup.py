@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
 from orthoflow.functions.text import fold, is_title, is_upper, scrub_non_lexical, words
+from orthoflow.session import cut
 
 # Lexicon words up to this length are found by deleted letters, longer ones by segments.
 SHORT_WORD = 14
@@ -190,7 +191,8 @@ def candidate_pairs(folds: DataFrame, entries: DataFrame, scope: list[str] = ["l
 
 
 def _near_with_repeats(folds: DataFrame, lexicon: DataFrame, scope: list[str]) -> DataFrame:
-    pairs = candidate_pairs(folds, suggestion_entries(lexicon, scope), scope)
+    entries = cut(suggestion_entries(lexicon, scope), "entries")
+    pairs = candidate_pairs(folds, entries, scope)
     return pairs.where("dist >= 0").withColumnRenamed("word", "suggestion")
 
 
@@ -219,6 +221,10 @@ def best_candidates(
     )
 
 
+def _with_fold(words_: DataFrame) -> DataFrame:
+    return words_ if "fold" in words_.columns else words_.withColumn("fold", fold("token"))
+
+
 def classify(unknown: DataFrame, near: DataFrame, scope: list[str] = ["lang"]) -> DataFrame:
     """Kind and suggestions of each word.
 
@@ -230,7 +236,7 @@ def classify(unknown: DataFrame, near: DataFrame, scope: list[str] = ["lang"]) -
     accent = lambda c: (c["dist"] == 0) & (F.lower(c["suggestion"]) != F.lower(F.col("token")))
     ranked = F.concat(F.filter("near", accent), F.filter("near", lambda c: ~accent(c)))
     return (
-        unknown.withColumn("fold", fold("token"))
+        _with_fold(unknown)
         .join(near, [*scope, "fold"])
         .withColumn("kind", F.when(F.exists("near", accent), "tilde").otherwise("ortografia"))
         .withColumn(

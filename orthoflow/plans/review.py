@@ -38,7 +38,9 @@ def check_words(unknown: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     Names in Title case are reported only for a missing or wrong accent.
     """
-    folds = unknown.select("lang", fold("token").alias("fold")).distinct()
+    if "fold" not in unknown.columns:
+        unknown = unknown.withColumn("fold", fold("token"))
+    folds = unknown.select("lang", "fold").distinct()
     near = best_candidates(folds, lexicon, V.MAX_SUGGESTIONS + 1)
     return classify(unknown, near).where((F.col("kind") == "tilde") | ~looks_like_proper_name("token"))
 
@@ -51,7 +53,10 @@ def _errors(vocabulary: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     lexicon = cut(lexicon.select("lang", "word", "df"), "lexicon")
     unknown = cut(out_of_lexicon(judged_words(vocabulary), broadcast_if_small(lexicon)), "unknown")
-    distinct = unknown.groupBy("lang", "token").agg(F.count("*").alias("documents"))
+    distinct = cut(
+        unknown.groupBy("lang", "token").agg(F.count("*").alias("documents")).withColumn("fold", fold("token")),
+        "distinct",
+    )
     verdicts = check_words(distinct, lexicon)
     return spread_lookup(unknown, verdicts, ["lang", "token"], weight="documents", spread_by="doc_id")
 
