@@ -171,16 +171,12 @@ def unit_highlight_words(units: DataFrame, errors: DataFrame, extend: bool = Tru
         F.transform(F.sort_array(F.collect_list(F.struct("first_pos", "key"))), lambda e: e["key"]).alias("keys")
     )
     letters = F.regexp_extract_all("text", F.lit("[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+"), F.lit(0))
-    last = lambda key: F.try_element_at(
-        F.filter("words", lambda w: F.lower(w) == key), F.lit(-1)
-    )
+    last = lambda key: F.element_at("words", F.array_position("lows", key).cast("int"))
 
     def step(acc: Column, key: Column) -> Column:
-        longer = F.array_distinct(
-            F.filter(
-                F.transform("words", lambda w: F.lower(w)),
-                lambda w: F.startswith(w, key) & (F.length(w) > F.length(key)) & ~F.array_contains(acc["used"], w),
-            )
+        longer = F.filter(
+            "word_keys",
+            lambda w: F.startswith(w, key) & (F.length(w) > F.length(key)) & ~F.array_contains(acc["used"], w),
         )
         extended = F.when(
             F.lit(extend) & (F.length(key) >= V.PREFIX_LENGTH) & (F.size(longer) == 1), longer[0]
@@ -200,10 +196,22 @@ def unit_highlight_words(units: DataFrame, errors: DataFrame, extend: bool = Tru
         "keys", F.struct(none.alias("used"), none.alias("out")), step, lambda acc: acc["out"]
     )
     rest = [c for c in units.columns if c != "text"]
+    starts = F.flatten(
+        F.transform(
+            F.filter("word_keys", lambda w: F.length(w) > V.PREFIX_LENGTH),
+            lambda w: F.transform(
+                F.sequence(F.lit(V.PREFIX_LENGTH), F.length(w) - 1), lambda i: F.substring(w, F.lit(1), i)
+            ),
+        )
+    )
+    # errors that are no word of the unit and no beginning of one cannot give anything
+    touching = F.array_intersect("keys", F.concat("word_keys", starts))
     return (
-        units.withColumn("words", letters)
-        .withColumn("word_keys", F.transform("words", lambda w: F.lower(w)))
+        units.withColumn("words", F.reverse(letters))
+        .withColumn("lows", F.transform("words", lambda w: F.lower(w)))
+        .withColumn("word_keys", F.array_distinct("lows"))
         .join(listed, "doc_id")
+        .withColumn("keys", touching)
         .select(*rest, chosen.alias("highlight"))
         .where(F.size("highlight") > 0)
     )
