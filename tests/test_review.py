@@ -25,7 +25,7 @@ def found(spark, text, *words):
 
 
 def test_mail_and_names(spark):
-    text = "Contacto: Ana Perez (ana.perez@ufm.edu.gt) y casacion"
+    text = "Contacto: Ana Perez (ana.perez@correo.org.gt) y casacion"
     assert found(spark, text, "casación", "contacto") == [("casacion", "tilde", ["casación"])]
 
 
