@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import exact_dedup, fingerprint, url_filter
+from orthoflow.llm import exact_dedup, fingerprint, quality, toxicity, url_filter
+from orthoflow.llm.training import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,24 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out("doc_id", 3, 1)
+    model = toxicity.fit_toxicity(docs, labels, ~out)
+    scores = toxicity.toxicity_scores(docs, model)
+    return scores.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op5_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out("doc_id", 5, 0)
+    model = quality.fit_quality(docs, labels, ~out)
+    scores = quality.quality_scores(docs, model)
+    return scores.select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 @query()
 def op6_fingerprints(spark, sf_dir):
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
