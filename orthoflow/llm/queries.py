@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import exact_dedup, fingerprint, quality, toxicity, url_filter
+from orthoflow.llm import exact_dedup, fingerprint, line_dedup, mixing, pseudonyms, quality, toxicity, url_filter
 from orthoflow.llm.training import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,108 @@ def op8_url_filter(spark, sf_dir):
     host = url_filter.url_host(F.col("url"))
     listed = pages.where(host.rlike(rf"(^|\.)({'|'.join(JUNK_SITES)})\.")).select("url")
     return url_filter.url_filter(pages, listed, URL_RULES)
+
+
+@query()
+def op3_pseudonyms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs).select("doc_id", "text", F.size("pseudonyms").alias("n_values"), "pseudonyms")
+
+
+@query(
+    r"""
+    WITH counted AS (
+      SELECT doc_id, coalesce(source, chr(0)) AS source,
+        len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+')) AS n FROM documents),
+    sources AS (SELECT source, sum(n)::BIGINT AS tokens FROM counted GROUP BY source),
+    shares AS (SELECT source, tokens, tokens / (SELECT sum(tokens) FROM sources)::DOUBLE AS p FROM sources),
+    search(step, low, high) AS (
+      SELECT * FROM (WITH RECURSIVE r(step, low, high) AS (
+        SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+        UNION ALL
+        SELECT step + 1,
+          CASE WHEN (SELECT max(p ** ((low + high) / 2 - 1)) / min(p ** ((low + high) / 2 - 1))
+                     FROM shares WHERE tokens > 0) > 1.25 THEN (low + high) / 2 ELSE low END,
+          CASE WHEN (SELECT max(p ** ((low + high) / 2 - 1)) / min(p ** ((low + high) / 2 - 1))
+                     FROM shares WHERE tokens > 0) > 1.25 THEN high ELSE (low + high) / 2 END
+        FROM r WHERE step < 48) SELECT * FROM r)),
+    chosen AS (
+      SELECT CASE WHEN (SELECT max(p ** -1.0) / min(p ** -1.0) FROM shares WHERE tokens > 0) > 1.25
+        THEN high ELSE 0.0 END AS a FROM search WHERE step = 48),
+    least AS (SELECT min(p ** (a - 1)) AS m FROM shares, chosen WHERE tokens > 0),
+    repeated AS (
+      SELECT source, tokens, CASE WHEN tokens > 0 THEN (1 / m) * (p ** (a - 1)) ELSE 1.0 END AS r
+      FROM shares, chosen, least),
+    quotas AS (
+      SELECT source, floor(r + 1e-9)::BIGINT AS blocks,
+        greatest(0, round((r - floor(r + 1e-9)) * tokens)::BIGINT) AS rest FROM repeated),
+    keyed AS (
+      SELECT doc_id, source, blocks, rest, n, md5('mix|' || blocks || '|' || doc_id) AS key
+      FROM counted JOIN quotas USING (source)),
+    lasts AS (
+      SELECT source, min(key) AS last_key FROM (
+        SELECT source, key, rest,
+          sum(n) OVER (PARTITION BY source ORDER BY key RANGE UNBOUNDED PRECEDING) AS upto FROM keyed)
+      WHERE rest > 0 AND upto >= rest GROUP BY source),
+    times AS (
+      SELECT doc_id, source, blocks + CASE WHEN key <= last_key THEN 1 ELSE 0 END AS t
+      FROM keyed LEFT JOIN lasts USING (source)),
+    taken AS (SELECT doc_id, source, unnest(range(t)) AS block FROM times)
+    SELECT doc_id, nullif(source, chr(0)) AS source, block::INTEGER AS block, md5('mix|' || block || '|' || doc_id) AS order_key FROM taken
+    """
+)
+def op9_mixing(spark, sf_dir):
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "block", "order_key")
+
+
+@query(
+    r"""
+    WITH lines AS (
+      SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+    words AS (
+      SELECT doc_id, pos, list_transform(
+        list_filter(string_split_regex(line, '[ \t\r\f]+'), lambda x: x <> ''),
+        lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM lines),
+    nodes AS (
+      SELECT doc_id, pos, len(w) AS n, w, level, CASE level WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE len(w) END AS depth
+      FROM words, (SELECT unnest([0, 1, 2]) AS level)
+      WHERE len(w) >= 5 AND (level = 2 OR len(w) >= 10)),
+    paths AS (
+      SELECT doc_id, pos, n, level, array_to_string(w[1:depth], ' ') AS key,
+        list_transform([0, 1, 2, 3], lambda j: array_to_string(
+          w[depth + ((n - depth) * j) // 4 + 1 : depth + ((n - depth) * (j + 1)) // 4], ' ')) AS s,
+        list_transform([0, 1, 2, 3], lambda j: ((n - depth) * (j + 1)) // 4 - ((n - depth) * j) // 4) AS c
+      FROM nodes),
+    found AS (
+      SELECT level, n, key, min(doc_id) AS first, max(c) AS c,
+        CASE WHEN min(s[1]) <> max(s[1]) THEN max(c[1]) ELSE 0 END
+        + CASE WHEN min(s[2]) <> max(s[2]) THEN max(c[2]) ELSE 0 END
+        + CASE WHEN min(s[3]) <> max(s[3]) THEN max(c[3]) ELSE 0 END
+        + CASE WHEN min(s[4]) <> max(s[4]) THEN max(c[4]) ELSE 0 END AS variable
+      FROM paths GROUP BY level, n, key HAVING min(doc_id) < max(doc_id)),
+    judged AS (
+      SELECT doc_id, pos, arg_min(first < doc_id, level) AS go
+      FROM paths JOIN (SELECT * FROM found WHERE n - variable >= 0.6 * n) USING (level, n, key) GROUP BY doc_id, pos),
+    gone AS (SELECT doc_id, list_sort(list(pos::INTEGER)) AS dropped FROM judged WHERE go GROUP BY doc_id),
+    texts AS (
+      SELECT doc_id, coalesce(dropped, []::INTEGER[]) AS dropped, string_split(text, chr(10)) AS ls
+      FROM documents LEFT JOIN gone USING (doc_id))
+    SELECT doc_id, len(ls) AS n_lines, len(dropped) AS n_dropped, array_to_string(dropped, ',') AS dropped,
+      sha256(array_to_string(list_transform(
+        list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(dropped, (i - 1)::INTEGER)), lambda i: ls[i]),
+        chr(10))) AS text_sha256
+    FROM texts
+    """
+)
+def op10_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n"))
+    done = line_dedup.line_dedup(docs, dropped_col="lines")
+    return done.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_lines"),
+        F.size("lines").cast("long").alias("n_dropped"),
+        F.array_join(F.transform("lines", lambda p: p.cast("string")), ",").alias("dropped"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
