@@ -135,7 +135,7 @@ def _date(value: Column, kind: str, key: str) -> Column:
 def _card(value: Column, key: str) -> Column:
     body = permute_text(F.substr(value, F.lit(1), F.length(value) - 1), key, "card")
     checked = _let(body, lambda b: F.concat(b, ((10 - luhn_sum(_digits(b), 0) % 10) % 10).cast("string")))
-    return F.when(luhn_sum(_digits(value), 1) % 10 == 0, checked).otherwise(permute_text(value, key, "number"))
+    return F.when(luhn_sum(_digits(value), 1) % 10 == 0, checked)
 
 
 def _iban(value: Column, key: str) -> Column:
@@ -154,7 +154,7 @@ def kind_of(value: Column) -> Column:
 
 
 def pseudonym(kind: Column, value: Column, key: str = KEY) -> Column:
-    """Pseudonym of a value; the value itself where it is not valid (an impossible date, a wrong IBAN)."""
+    """Pseudonym of a value; null where it is not valid (an impossible date, a wrong check digit)."""
     email_name = F.regexp_replace(value, r"\.[A-Za-z]+$", "")
     country = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
     by_kind = {
@@ -169,7 +169,12 @@ def pseudonym(kind: Column, value: Column, key: str = KEY) -> Column:
     out = F.lit(None).cast("string")
     for name, expression in by_kind.items():
         out = F.when(kind == name, expression).otherwise(out)
-    return F.coalesce(out, value)
+    return out
+
+
+def _part(kind: Column, value: Column, new: Column) -> Column:
+    """What stands in the text for a match, and its kind if it was valid."""
+    return F.struct(F.when(new.isNotNull(), kind).alias("kind"), F.coalesce(new, value).alias("pseudonym"))
 
 
 def pseudonymize(
@@ -180,8 +185,8 @@ def pseudonymize(
     Values are e-mail and IP addresses, dates, IBANs, social security, phone and card numbers.  They are
     validated (octets, calendar, check digits) and permuted within their format by a Feistel network
     under ``key``: the same value has the same pseudonym in all documents, different values have
-    different ones, and whoever has the key can go back.  Card numbers and IBANs keep valid check digits;
-    long numbers without one are permuted as plain digits, and impossible dates and wrong IBANs stay.
+    different ones, and whoever has the key can go back.  Card numbers and IBANs get valid check digits
+    again; numbers with wrong check digits and impossible dates are no personal values and stay.
 
     All is done in the row, by column expressions: nothing is shuffled, and texts without digit or ``@``
     are not searched.  Null text stays null and has no values; texts are read whole.  Repeated rows are
@@ -198,7 +203,7 @@ def pseudonymize(
         parts_col,
         F.transform(
             F.coalesce(F.col(value_col), none),
-            lambda v: _let(kind_of(v), lambda k: F.struct(k.alias("kind"), pseudonym(k, v, key).alias("pseudonym"))),
+            lambda v: _let(kind_of(v), lambda k: _let(pseudonym(k, v, key), lambda p: _part(k, v, p))),
         ),
     )
     between = F.split(text, ANY_FORM, -1)
@@ -206,4 +211,5 @@ def pseudonymize(
         F.zip_with(between, F.col(parts_col), lambda b, p: F.concat(b, F.coalesce(p["pseudonym"], F.lit("")))), ""
     )
     out = replaced.withColumn(text_col, F.when(F.size(parts_col) > 0, joined).otherwise(text))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != found_col], F.col(parts_col).alias(found_col))
+    found = F.filter(F.col(parts_col), lambda p: p["kind"].isNotNull())
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != found_col], found.alias(found_col))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import exact_dedup, fingerprint, line_dedup, mixing, pseudonyms, quality, toxicity, url_filter
+from orthoflow.llm import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, pieces, pseudonyms, quality, toxicity, url_filter
 from orthoflow.llm.training import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,20 @@ def op10_line_dedup(spark, sf_dir):
         F.array_join(F.transform("lines", lambda p: p.cast("string")), ",").alias("dropped"),
         F.sha2("text", 256).alias("text_sha256"),
     )
+
+
+@query()
+def op2_near_dedup(spark, sf_dir):
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
+@query()
+def op7_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode_documents(docs)
+    again = pieces.decode(encoded)
+    return encoded.select(
+        "doc_id", "token_ids", F.size("token_ids").alias("n_tokens"),
+        (again == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
