@@ -27,18 +27,18 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 def frequent_hashes(rows: DataFrame, key: Column, k: int = FREQUENT_KEYS, tracked: int = TRACKED_KEYS) -> list[int]:
     """At most ``k`` hashes of the most frequent values of ``key``, by a Misra-Gries summary.
 
-    Spark's ``approx_top_k`` family keeps a frequent-items sketch, that is a Misra-Gries summary of
-    ``tracked`` counters; any key with more than about 2/``tracked`` of the rows is in it.  The
-    summaries of the tasks are first merged in groups and then once more, so that no task reads one
-    per task.  What comes to the driver is ``k`` numbers at any input size.
+    Spark's ``approx_top_k`` keeps a frequent-items sketch, that is a Misra-Gries summary of ``tracked``
+    counters.  Each of ``SKETCH_GROUPS`` groups of tasks has one; the ``k`` largest counts of each are
+    added up, so that no task reads a summary per task.  A key with more than about 1/``k`` of the rows
+    has this share in some group and is found.  ``k`` numbers come to the driver, at any input size.
     """
-    parts = (
+    groups = (
         rows.select(F.xxhash64(key).alias("h"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
         .groupBy("g")
-        .agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("s"))
+        .agg(F.expr(f"approx_top_k(h, {k}, {tracked})").alias("top"))
     )
-    found = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {k})").alias("top"))
-    return [r["item"] for row in found.collect() for r in row["top"] or []]
+    counts = groups.select(F.explode("top").alias("t")).groupBy("t.item").agg(F.sum("t.count").alias("n"))
+    return [r["item"] for r in counts.orderBy(F.desc("n"), "item").limit(k).collect()]
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

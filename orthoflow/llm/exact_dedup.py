@@ -31,7 +31,7 @@ def exact_dedup(
     2. A Misra-Gries summary finds at most ``heavy`` frequent digests.
     3. Their winners and exact counts come from an aggregation with map-side partial results, and are
        broadcast (at most ``heavy`` rows): all copies of a hot text are settled where they lie.
-    4. The remaining digests, none of which has more than about 2/``tracked`` of all rows, are shuffled.
+    4. The remaining digests, none of which has more than about 1/``heavy`` of all rows, are shuffled.
 
     Null text counts as empty, and empty texts are equal.  A null id is smaller than every other id.
     Of rows that repeat both id and text exactly one has ``kept``; ``group_size`` counts all of them.
