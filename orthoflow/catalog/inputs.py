@@ -10,7 +10,7 @@ from orthoflow.functions.text import fold
 from orthoflow.operators.lookup import lexicon_from_documents, out_of_lexicon
 from orthoflow.operators.tokens import document_vocabulary, tokens
 from orthoflow.plans.review import find_errors, judged_words
-from orthoflow.session import broadcast_if_small, cut, spread
+from orthoflow.session import cut
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -18,8 +18,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf):
-    """The documents; a single small file is spread over the cores."""
-    return spread(table(spark, sf, "documents"))
+    """The documents.  A setting can deal them anew: useful for one small file on many cores."""
+    docs = table(spark, sf, "documents")
+    parts = int(spark.conf.get("orthoflow.input.partitions", "0"))
+    return docs.repartition(parts, "doc_id") if parts else docs
 
 
 def all_tokens(spark, sf, keep=("doc_id", "lang")):
@@ -38,7 +40,7 @@ def errors(spark, sf):
 def unknown_words(spark, sf):
     """Judged words of each document that the lexicon does not have."""
     vocabulary = document_vocabulary(documents(spark, sf), ["doc_id", "lang"])
-    return out_of_lexicon(judged_words(vocabulary), broadcast_if_small(lexicon(spark, sf)))
+    return out_of_lexicon(judged_words(vocabulary), lexicon(spark, sf))
 
 
 def vocabulary_words(spark, sf):

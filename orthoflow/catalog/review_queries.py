@@ -158,16 +158,6 @@ def errors_report(spark, sf):
     )
 
 
-@query(f"""WITH {ERRORS}, {RESULTS} SELECT source, count(*) AS documents, count(*) FILTER (total_errors > 0) AS with_errors,
-  sum(total_errors)::BIGINT AS candidates, sum(total_errors)::BIGINT AS confirmed FROM res GROUP BY 1""")
-def batch_summary(spark, sf):
-    results = Q.document_results(documents(spark, sf), errors(spark, sf)).select(
-        "doc_id", F.col("total_errors").alias("candidates"), F.col("total_errors").alias("confirmed")
-    )
-    sources = documents(spark, sf).select("doc_id", "source")
-    return Q.batch_summary(results.join(sources, "doc_id"), ["source"])
-
-
 TOP = """c AS (SELECT d.source, e.key, count(*) AS documents FROM err e JOIN documents d USING (doc_id) GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY documents DESC, key)::INTEGER AS place FROM c)"""
 
@@ -265,9 +255,9 @@ def unit_highlight_words(spark, sf):
     WHERE start_at < least(rs + 7, len) AND end_at > rs),
   n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, para_ix, start_at, end_at) AS runs FROM hit)
   SELECT doc_id, para_ix, token, start_at, end_at, run_ix, runs,
-    CASE WHEN start_at <= rs AND end_at >= re THEN 'whole' WHEN start_at >= rs AND end_at <= re THEN 'inside' ELSE 'crossed' END AS cover,
+    CASE WHEN runs > 6 THEN 'left_alone' WHEN start_at <= rs AND end_at >= re THEN 'whole' WHEN start_at >= rs AND end_at <= re THEN 'inside' ELSE 'crossed' END AS cover,
     text[rs + 1:greatest(start_at, rs)] AS before, text[greatest(start_at, rs) + 1:least(end_at, re)] AS middle,
-    text[least(end_at, re) + 1:re] AS after FROM n WHERE runs <= 6""")
+    text[least(end_at, re) + 1:re] AS after FROM n""")
 def runs_of_error(spark, sf):
     paragraphs = lines(spark, sf).withColumnRenamed("unit_ix", "para_ix")
     # a paragraph is the document of its own offsets
@@ -307,7 +297,7 @@ CORR = f"""voc AS (SELECT doc_id, lang, token, lower(token) AS key, min(pos) AS
 FIXED = f"""{TOK}, {CORR}, {LEX}, {unknown_cte()}, {CANDIDATES}, {ERR},
 cx AS (SELECT doc_id, token AS original, CASE WHEN {upper('token')} THEN upper(best)
   WHEN {title('token')} THEN upper(best[1]) || best[2:] ELSE best END AS replacement FROM err),
-corr AS (SELECT * FROM cx WHERE original <> replacement)"""
+corr AS MATERIALIZED (SELECT * FROM cx WHERE original <> replacement)"""
 
 
 @query(f"WITH {FIXED} SELECT doc_id, original, replacement FROM corr")
@@ -410,14 +400,18 @@ def compare_layers(spark, sf):
     return D.compare_layers(found, decided)
 
 
-@query("""WITH t AS (SELECT conv_id AS doc_id, turn AS arrival, regexp_extract(text, '[A-Za-z]+') AS w FROM conversations)
-  SELECT doc_id, arrival, arrival % 3 = 2 AS failed, CASE WHEN arrival % 3 = 2 THEN '' ELSE w END AS word,
-  arrival % 3 <> 2 AS is_error, CASE WHEN arrival % 3 <> 2 THEN 'typo' END AS reason FROM t WHERE arrival % 3 = 2 OR length(w) > 0""")
+@query("""WITH w AS (SELECT conv_id AS doc_id, turn AS arrival, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM conversations),
+  i AS (SELECT doc_id, arrival, (unnest(range(len(ws))))::INTEGER AS pos, unnest(ws) AS word FROM w WHERE arrival % 3 <> 2)
+  SELECT doc_id, arrival, pos, false AS failed, word, length(word) % 2 = 0 AS is_error, 'typo' AS reason FROM i
+  UNION ALL SELECT doc_id, arrival, NULL, true, '', false, NULL FROM w WHERE arrival % 3 = 2""")
 def parse_answers(spark, sf):
-    word = F.regexp_extract("text", "[A-Za-z]+", 0)
-    item = F.struct(word.alias("palabra"), F.lit(True).alias("es_error_ortografico"), F.lit("typo").alias("motivo"))
+    """An answer per turn: an item for each word of its whole text; every third answer is broken off."""
+    words_ = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    item = lambda w: F.struct(
+        w.alias("palabra"), (F.length(w) % 2 == 0).alias("es_error_ortografico"), F.lit("typo").alias("motivo")
+    )
     answer = F.when(F.col("turn") % 3 == 2, F.lit('{"items": [{"palabra": ')).otherwise(
-        F.to_json(F.struct(F.array(item).alias("items")))
+        F.to_json(F.struct(F.transform(words_, item).alias("items")))
     )
     rows = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("arrival"), answer.alias("answer")
@@ -425,6 +419,41 @@ def parse_answers(spark, sf):
     return D.parse_answers(rows)
 
 
+ANSWERED = """ans AS (SELECT doc_id, first_pos, key, token, kind, suggestions, doc_id % 5 = 0 AND (max(p) OVER (PARTITION BY doc_id)) >= 0 AS broken,
+    length(key) % 2 = 0 AS confirmed FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_pos) - 1 AS p FROM err)),
+  sl AS (SELECT doc_id, first_pos, key, token, confirmed OR broken AS confirmed, CASE WHEN NOT broken THEN
+    CASE WHEN confirmed THEN 'typo' ELSE 'valida' END END AS reason, broken AS fallback FROM ans)"""
+
+
+def raw_answers(spark, sf, found):
+    """One JSON answer per batch of candidates with two items per word, of which the second counts; the
+    last batch of each fifth document is broken off."""
+    batched = D.batches(found, ["doc_id"], ["first_pos"])
+    good = F.length("key") % 2 == 0
+    items = F.array(
+        F.struct(F.upper("token").alias("palabra"), (~good).alias("es_error_ortografico"), F.lit("primero").alias("motivo")),
+        F.struct(
+            F.concat(F.lit(" "), F.col("token"), F.lit("\t")).alias("palabra"), good.alias("es_error_ortografico"),
+            F.when(good, "typo").otherwise("valida").alias("motivo"),
+        ),
+    )
+    ordered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", items.alias("i")))), lambda x: x["i"]))
+    answers = batched.groupBy("doc_id", "batch").agg(F.to_json(F.struct(ordered.alias("items"))).alias("answer"))
+    last = answers.groupBy("doc_id").agg(F.max("batch").alias("last"))
+    broken = (F.col("doc_id") % 5 == 0) & (F.col("batch") == F.col("last"))
+    return answers.join(last, "doc_id").select(
+        "doc_id", F.col("batch").cast("bigint").alias("arrival"),
+        F.when(broken, F.substring("answer", 1, 20)).otherwise(F.col("answer")).alias("answer"),
+    )
+
+
+@query(f"WITH {ERRORS}, {ANSWERED} SELECT doc_id, key, token, confirmed, reason, fallback FROM sl")
+def second_layer_from_answers(spark, sf):
+    found = cut(candidates(spark, sf), "candidates")
+    decided = D.second_layer_from_answers(found, raw_answers(spark, sf, found))
+    return decided.select("doc_id", "key", "token", "confirmed", "reason", "fallback")
+
+
 @query(f"WITH {ERRORS}, {RESULTS} SELECT doc_id, ok, has_errors, total_errors, errors FROM res")
 def review_stream(spark, sf):
     """The documents as a stream of files gives the same results as the batch review."""
@@ -434,10 +463,24 @@ def review_stream(spark, sf):
     import uuid
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = documents(spark, sf).schema
-    stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-        .withColumn("ts", F.col("_metadata.file_modification_time"))
-    )
+    schema = table(spark, sf, "documents").schema
+    # the pattern matches the one file, or the folder of part files
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{sf}/documents.parquet*")
+    stream = files.withColumn("ts", F.col("_metadata.file_modification_time"))
     start(stream, "ts", lexicon(spark, sf), f"{base}/results", f"{base}/checkpoint").awaitTermination()
     return _flat(reviewed(spark, f"{base}/results")).select("doc_id", "ok", "has_errors", "total_errors", "errors")
+
+
+@query(f"""WITH {ERRORS}, {ANSWERED}, n AS (SELECT d.source, d.doc_id, count(sl.key) AS candidates, count(*) FILTER (sl.confirmed) AS confirmed
+  FROM documents d LEFT JOIN sl USING (doc_id) GROUP BY 1, 2)
+  SELECT source, count(*) AS documents, count(*) FILTER (confirmed > 0) AS with_errors,
+  sum(candidates)::BIGINT AS candidates, sum(confirmed)::BIGINT AS confirmed FROM n GROUP BY 1""")
+def batch_summary(spark, sf):
+    found = cut(candidates(spark, sf), "candidates")
+    decided = D.second_layer_from_answers(found, raw_answers(spark, sf, found))
+    counts = D.verdict_summary(decided).select("doc_id", "candidates", "confirmed")
+    sources = documents(spark, sf).select("doc_id", "source")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return Q.batch_summary(
+        sources.join(counts, "doc_id", "left").select("source", none("candidates"), none("confirmed")), ["source"]
+    )

@@ -107,11 +107,6 @@ COMMON_SUFFIXES = (
     "able", "ables", "ible", "ibles", "mente", "ez", "eza", "ezas",
     "amiento", "amientos", "imiento", "imientos",
 )
-COMMON_PREFIXES = (
-    "a", "an", "anti", "auto", "bi", "co", "contra", "des", "extra", "hiper", "hipo",
-    "infra", "inter", "intra", "macro", "micro", "multi", "neo", "poli", "post", "pre",
-    "pseudo", "re", "semi", "sub", "supra", "super", "trans", "ultra",
-)
 
 # --- Fixed values: letters composed before matching -----------------------
 COMPOSED_LETTERS = "áéíóúüñÁÉÍÓÚÜÑ"
@@ -127,3 +122,22 @@ MIN_BUDGET = 200
 MAX_BUDGET = 800
 BASE_BUDGET = 80
 WORD_BUDGET = 28
+
+# --- Fixed values: markup and encodings ------------------------------------
+CHARACTER_REFERENCE = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
+# The names of the signs 160 to 255 in their order, then those of XML.
+LATIN_NAMES = (
+    "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro "
+    "para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil "
+    "Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave "
+    "Uacute Ucirc Uuml Yacute THORN szlig agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml "
+    "igrave iacute icirc iuml eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute "
+    "thorn yuml"
+).split()
+CHARACTER_NAMES = {
+    **{name: chr(160 + i) for i, name in enumerate(LATIN_NAMES)},
+    "quot": '"', "amp": "&", "lt": "<", "gt": ">", "apos": "'",
+}
+# Bytes 0x80 to 0x9F that Windows-1252 defines, and their signs.
+WINDOWS_CODES = [c for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)]
+WINDOWS_SIGNS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"

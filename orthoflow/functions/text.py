@@ -31,6 +31,15 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+# What counts as white space at the ends of a text.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column | str) -> Column:
+    """Trim every kind of white space at both ends."""
+    return F.btrim(_col(text), F.lit(WHITE_SPACE))
+
+
 def any_ending(endings: Sequence[str]) -> str:
     """One alternation that matches any of the endings."""
     return "(" + "|".join(endings) + ")$"
@@ -54,7 +63,7 @@ def words(text: Column | str) -> Column:
 
 def fold(text: Column | str) -> Column:
     """Lower case, trimmed, without accents (``ñ`` becomes ``n``)."""
-    return F.translate(F.lower(F.trim(_col(text))), _FOLD_FROM, _FOLD_TO)
+    return F.translate(F.lower(strip(text)), _FOLD_FROM, _FOLD_TO)
 
 
 def has_diacritic(word: Column | str) -> Column:
@@ -151,7 +160,7 @@ def valid_word(
     bad_starts: Sequence[str] = (),
 ) -> Column:
     """Lexicon word test: length bounds and letter class."""
-    word = F.trim(_col(word))
+    word = strip(word)
     pattern = V.LEXICON_WORD_DIGITS if digits else V.LEXICON_WORD_HYPHEN if hyphen else V.LEXICON_WORD
     ok = F.length(word).between(min_length, max_length) & F.rlike(word, F.lit(pattern))
     if bad_starts:
@@ -161,7 +170,7 @@ def valid_word(
 
 def valid_loanword(word: Column | str, min_length: int = 2, max_length: int = 45) -> Column:
     """Loanword test: ASCII letters and digits, hyphens after the first sign."""
-    word = F.trim(_col(word))
+    word = strip(word)
     return F.length(word).between(min_length, max_length) & F.rlike(word, F.lit(V.LOANWORD))
 
 

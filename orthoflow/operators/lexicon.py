@@ -27,6 +27,7 @@ from orthoflow.functions.text import (
     fold,
     has_diacritic,
     looks_english,
+    strip,
     title_form,
     valid_loanword,
     valid_word,
@@ -199,7 +200,7 @@ def _scope(df: DataFrame) -> list[str]:
 def seed_words(blocks: DataFrame, **bounds) -> DataFrame:
     """Valid words of seed texts split at white space."""
     return (
-        blocks.select(*_scope(blocks), F.explode_outer(F.split(F.trim("text"), r"\s+")).alias("word"))
+        blocks.select(*_scope(blocks), F.explode_outer(F.split(strip("text"), r"\s+")).alias("word"))
         .where(valid_word("word", **bounds))
         .distinct()
     )
@@ -336,7 +337,7 @@ def verify_lexicon(lines: DataFrame) -> DataFrame:
 
     Counted in steps (word, lower-case word, package), so no distinct count needs its own copy
     of the rows."""
-    entry = F.trim("line")
+    entry = strip("line")
     is_count = F.rlike(entry, F.lit(r"^\d+$"))
     by_word = (
         lines.where(F.length(entry) > 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
 from orthoflow.functions.text import fold, is_title, is_upper, scrub_non_lexical, words
-from orthoflow.session import cut
+from orthoflow.session import HOT_KEYS, cut
 
 # Lexicon words up to this length are found by deleted letters, longer ones by segments.
 SHORT_WORD = 14
@@ -34,23 +35,56 @@ def out_of_lexicon(rows: DataFrame, lexicon: DataFrame, scope: list[str] = ["lan
     """Rows whose ``token`` the lexicon does not accept.
 
     A word is accepted exactly, or by its lower-case entry when it is written in Title or
-    UPPER form.  A Title entry does not accept the lower-case word.  Pass the lexicon with
-    a checked broadcast hint (``broadcast_if_small``) to keep this step free of shuffles.
+    UPPER form.  A Title entry does not accept the lower-case word.
+
+    Rows of the ``HOT_KEYS`` most frequent entries leave first, next to the scan (a broadcast of
+    fixed length), so no frequent word is a hot key of the joins with the whole lexicon.  Those
+    are planned on the stored size of the lexicon, and the second one has the word itself, not
+    null, as key of words that have no other accepted form.
     """
+    lexicon = words_of(lexicon)
     entries = lexicon.select(*scope, F.col("word").alias("_form"))
-    cased = F.when(is_title("token") | is_upper("token"), F.lower("token"))
-    return (
-        rows.withColumn("_form", F.col("token"))
-        .join(entries, [*scope, "_form"], "left_anti")
-        .withColumn("_form", cased)
-        .join(entries, [*scope, "_form"], "left_anti")
-        .drop("_form")
+    weight = [F.desc("df")] if "df" in lexicon.columns else []
+    frequent = F.broadcast(
+        lexicon.orderBy(*weight, *scope, "word").limit(HOT_KEYS).select(*scope, F.col("word").alias("_form"))
     )
+    cased = F.when(is_title("token") | is_upper("token"), F.lower("token")).otherwise(F.col("token"))
+    out = rows
+    for known in (frequent, entries):
+        for form in (F.col("token"), cased):
+            out = out.withColumn("_form", form).join(known, [*scope, "_form"], "left_anti")
+    return out.drop("_form")
+
+
+@dataclass(frozen=True)
+class PreparedLexicon:
+    """A stored lexicon with its stored suggestion entries, for many reviews."""
+
+    words: DataFrame
+    entries: DataFrame
+
+
+def prepare_lexicon(lexicon: DataFrame | PreparedLexicon, scope: list[str] = ["lang"]) -> PreparedLexicon:
+    """Store a lexicon and its entries once; one that is prepared is returned as it is."""
+    if isinstance(lexicon, PreparedLexicon):
+        return lexicon
+    words_ = cut(lexicon.select(*scope, "word", "df"), "lexicon")
+    return PreparedLexicon(words_, cut(suggestion_entries(words_, scope), "entries"))
+
+
+def words_of(lexicon: DataFrame | PreparedLexicon) -> DataFrame:
+    return lexicon.words if isinstance(lexicon, PreparedLexicon) else lexicon
+
+
+def entries_of(lexicon: DataFrame | PreparedLexicon, scope: list[str]) -> DataFrame:
+    if isinstance(lexicon, PreparedLexicon):
+        return lexicon.entries
+    return cut(suggestion_entries(lexicon, scope), "entries")
 
 
 def valid_in_any(rows: DataFrame, lexicon: DataFrame, locales: list[str]) -> DataFrame:
     """Rows whose ``token`` at least one of the locales accepts."""
-    entries = lexicon.where(F.col("lang").isin(*locales)).select(F.col("word").alias("_form")).distinct()
+    entries = words_of(lexicon).where(F.col("lang").isin(*locales)).select(F.col("word").alias("_form")).distinct()
     forms = F.array_distinct(
         F.array("token", F.when(is_title("token") | is_upper("token"), F.lower("token")).otherwise(F.col("token")))
     )
@@ -170,13 +204,12 @@ def candidate_pairs(folds: DataFrame, entries: DataFrame, scope: list[str] = ["l
     One word becomes some fifty rows, so the words are spread evenly before that.
     """
     n = F.length("fold")
-    parts = int(folds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    folds = folds.select(*scope, "fold").repartition(parts, *scope, "fold")
+    folds = folds.select(*scope, "fold").repartition(*scope, "fold")
     left = _short_keys(folds.where(n <= SHORT_WORD + V.MAX_DISTANCE), "fold", scope).unionByName(
         _long_keys_probe(folds.where(n > SHORT_WORD - V.MAX_DISTANCE), "fold", scope)
     )
     m = F.length("word_fold")
-    entries = entries.select(*scope, "word", "word_fold", "df").repartition(parts, *scope, "word_fold")
+    entries = entries.select(*scope, "word", "word_fold", "df").repartition(*scope, "word_fold")
     right = _short_keys(entries.where(m <= SHORT_WORD), "word_fold", scope).unionByName(
         _long_keys_entry(entries.where(m > SHORT_WORD), "word_fold", scope)
     )
@@ -184,14 +217,14 @@ def candidate_pairs(folds: DataFrame, entries: DataFrame, scope: list[str] = ["l
     same = reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in scope], F.lit(True))
     distance = F.levenshtein("fold", "word_fold", V.MAX_DISTANCE)
     return (
-        left.join(right.hint("shuffle_hash"), "_key")
+        left.join(right, "_key")
         .withColumn("dist", F.when(same, distance).otherwise(-1))
         .drop("_key", *[f"_{c}" for c in scope])
     )
 
 
 def _near_with_repeats(folds: DataFrame, lexicon: DataFrame, scope: list[str]) -> DataFrame:
-    entries = cut(suggestion_entries(lexicon, scope), "entries")
+    entries = entries_of(lexicon, scope)
     pairs = candidate_pairs(folds, entries, scope)
     return pairs.where("dist >= 0").withColumnRenamed("word", "suggestion")
 

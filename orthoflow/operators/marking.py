@@ -1,9 +1,9 @@
 """Marking and correcting text.
 
-The errors (or corrections) of a document travel to its text as one small array, so the
-text is shuffled at most once and each text is rebuilt inside its row.  A text is cut in
-alternating pieces: words with at most one inner apostrophe part, and what stands between.
-Hits are whole pieces or whole apostrophe parts, never parts of a longer word.
+A text is cut in alternating pieces: words with at most one inner apostrophe part, and what
+stands between.  Pieces and errors meet in an equi join on document and word, so the work
+grows with the text and not with text times errors; only texts of documents that have errors
+are rebuilt.  Hits are whole pieces or whole apostrophe parts, never parts of a longer word.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
 from orthoflow.functions.text import comment_text
+from orthoflow.operators.tokens import running_ends
 
-HITS = "array<struct<start_at:int,end_at:int,key:string>>"
+IS_WORD = r"^[\p{L}\p{N}_]"
+BIN = 64
 
 
 def pieces(text: Column | str) -> Column:
@@ -24,7 +26,7 @@ def pieces(text: Column | str) -> Column:
 def _parts(piece: Column) -> Column:
     """Sub-words of a piece with an apostrophe; empty for other pieces."""
     return F.when(
-        F.contains(piece, F.lit("'")) & F.rlike(piece, F.lit(r"^[\p{L}\p{N}_]")), F.split(piece, "'")
+        F.contains(piece, F.lit("'")) & F.rlike(piece, F.lit(IS_WORD)), F.split(piece, "'")
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -48,83 +50,80 @@ def error_word_list(errors: DataFrame) -> DataFrame:
     )
 
 
+def _sub_words(piece: Column) -> Column:
+    """The words that a piece can be hit as: (part, word, offset), part 0 being the whole piece."""
+    entry = lambda part, word, at: F.struct(F.lit(part).alias("part"), word.alias("word"), at.alias("at"))
+    first = F.substring_index(piece, "'", 1)
+    whole = entry(0, piece, F.lit(0))
+    halves = F.array(
+        whole, entry(1, first, F.lit(0)), entry(2, F.substring_index(piece, "'", -1), F.length(first) + 1)
+    )
+    return F.when(F.contains(piece, F.lit("'")), halves).otherwise(F.array(whole))
+
+
 def mark_occurrences(documents: DataFrame, errors: DataFrame) -> DataFrame:
     """Every whole-word, case-insensitive hit of a document's errors: 0-based start and end."""
-    listed = errors.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-
-    def hits_of(piece: Column, at: Column) -> Column:
-        low = F.lower(piece)
-        end = at + F.length(piece)
-        first = F.length(F.substring_index(piece, "'", 1))
-        spot = lambda a, b, k: F.struct(a.alias("start_at"), b.alias("end_at"), k.alias("key"))
-        whole = F.array(spot(at, end, low))
-        halves = F.array(
-            spot(at, at + first, F.substring_index(low, "'", 1)),
-            spot(at + first + 1, end, F.substring_index(low, "'", -1)),
-        )
-        split = F.contains(piece, F.lit("'")) & F.rlike(piece, F.lit(r"^[\p{L}\p{N}_]"))
-        spots = F.when(split, F.concat(whole, halves)).otherwise(whole)
-        return F.filter(spots, lambda s: F.array_contains(F.col("keys"), s["key"]))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(HITS).alias("hits"))
-    walk = F.aggregate(
-        "pieces",
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            F.when(
-                F.rlike(p, F.lit(r"^[\p{L}\p{N}_]")), F.concat(acc["hits"], hits_of(p, acc["at"]))
-            ).otherwise(acc["hits"]).alias("hits"),
-        ),
-        lambda acc: acc["hits"],
+    cut_up = documents.select("doc_id", pieces("text").alias("piece"))
+    ends = running_ends(F.transform("piece", lambda p: F.length(p)))
+    rows = (
+        cut_up.select("doc_id", F.explode_outer(F.arrays_zip("piece", ends.alias("end"))).alias("p"))
+        .where(F.rlike("p.piece", F.lit(IS_WORD)))
+        .select("doc_id", (F.col("p.end") - F.length("p.piece")).alias("start"), F.explode(_sub_words(F.col("p.piece"))).alias("s"))
     )
-    return (
-        documents.select("doc_id", "text")
-        .join(listed, "doc_id")
-        .select("doc_id", "keys", pieces("text").alias("pieces"))
-        .select("doc_id", F.explode_outer(walk).alias("h"))
-        .where("h is not null")
-        .select("doc_id", F.col("h.key").alias("key"), "h.start_at", "h.end_at")
+    start = F.col("start") + F.col("s.at")
+    spots = rows.select(
+        "doc_id", F.lower("s.word").alias("key"), start.alias("start_at"), (start + F.length("s.word")).alias("end_at")
     )
+    return spots.join(errors.select("doc_id", "key").distinct(), ["doc_id", "key"])
 
 
 def mark_counts(marks: DataFrame) -> DataFrame:
     return marks.groupBy("doc_id", "key").agg(F.count("*").alias("marks"))
 
 
-def _rebuilt(piece: Column, replace) -> Column:
-    """The replacement of a whole piece, else its apostrophe parts one by one, else itself."""
-    by_parts = F.array_join(F.transform(_parts(piece), lambda p: F.coalesce(replace(p), p)), "'")
-    return F.coalesce(replace(piece), F.when(F.size(_parts(piece)) > 0, by_parts), piece)
+def _rebuilt(documents: DataFrame, table: DataFrame, key) -> DataFrame:
+    """Texts with each listed word replaced, once: ``table`` has doc_id, key and the text ``new``.
+
+    A whole piece goes before its apostrophe parts.  ``key`` maps a word to its key.
+    """
+    listed = table.select("doc_id").distinct()
+    texts = documents.select("doc_id", "text")
+    pieces_ = texts.join(listed, "doc_id", "left_semi").select("doc_id", F.posexplode(pieces("text")).alias("pos", "piece"))
+    words_ = pieces_.where(F.rlike("piece", F.lit(IS_WORD)))
+    asked = words_.select("doc_id", "pos", F.explode(_sub_words(F.col("piece"))).alias("s"))
+    hits = asked.select("doc_id", "pos", "s.part", F.col("s.word").alias("word"), key(F.col("s.word")).alias("key")).join(
+        table, ["doc_id", "key"]
+    )
+    part = lambda i: F.max(F.when(F.col("part") == i, F.col("new"))).alias(f"new{i}")
+    news = hits.withColumn("new", F.concat("before", F.coalesce("replacement", "word"), "after")).groupBy("doc_id", "pos").agg(
+        part(0), part(1), part(2)
+    )
+    first, second = F.substring_index("piece", "'", 1), F.substring_index("piece", "'", -1)
+    halves = F.when(
+        F.coalesce("new1", "new2").isNotNull(),
+        F.concat(F.coalesce("new1", first), F.lit("'"), F.coalesce("new2", second)),
+    )
+    replaced = pieces_.join(news, ["doc_id", "pos"], "left").select(
+        "doc_id", F.struct("pos", F.coalesce("new0", halves, "piece").alias("t")).alias("p")
+    )
+    rebuilt = replaced.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "").alias("new_text")
+    )
+    return texts.join(rebuilt, "doc_id", "left").select("doc_id", F.coalesce("new_text", "text").alias("text"))
 
 
 def highlight_text(documents: DataFrame, errors: DataFrame, opening: str = "[[", closing: str = "]]") -> DataFrame:
     """Texts with every error word between delimiters; each hit is marked once."""
-    listed = errors.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    marked = lambda w: F.when(
-        F.array_contains(F.col("keys"), F.lower(w)), F.concat(F.lit(opening), w, F.lit(closing))
-    )
-    rebuilt = F.array_join(F.transform(pieces("text"), lambda p: _rebuilt(p, marked)), "")
-    return (
-        documents.select("doc_id", "text")
-        .join(listed, "doc_id", "left")
-        .select("doc_id", F.when(F.col("keys").isNotNull(), rebuilt).otherwise(F.col("text")).alias("text"))
+    table = errors.select("doc_id", "key").distinct().select(
+        "*", F.lit(opening).alias("before"), F.lit(None).cast("string").alias("replacement"), F.lit(closing).alias("after")
     )
+    return _rebuilt(documents, table, F.lower)
 
 
 def apply_corrections(documents: DataFrame, corrections: DataFrame) -> DataFrame:
     """Case-sensitive whole-word replacement of each original word, once."""
-    table = corrections.select("doc_id", "original", "replacement").distinct()
-    listed = table.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("original", "replacement"))).alias("table")
-    )
-    replace = lambda w: F.try_element_at(F.col("table"), w)
-    rebuilt = F.array_join(F.transform(pieces("text"), lambda p: _rebuilt(p, replace)), "")
-    return (
-        documents.select("doc_id", "text")
-        .join(listed, "doc_id", "left")
-        .select("doc_id", F.when(F.col("table").isNotNull(), rebuilt).otherwise(F.col("text")).alias("text"))
-    )
+    table = corrections.select("doc_id", F.col("original").alias("key"), "replacement").distinct()
+    return _rebuilt(documents, table.select("*", F.lit("").alias("before"), F.lit("").alias("after")), lambda w: w)
 
 
 def correction_chains(corrections: DataFrame) -> DataFrame:
@@ -141,15 +140,11 @@ def longest_first(corrections: DataFrame) -> DataFrame:
 
 def errors_per_unit(units: DataFrame, errors: DataFrame) -> DataFrame:
     """The errors of the document that occur in each unit: array ``found`` in document order."""
-    listed = errors.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("first_pos", "key", "token", "suggestions"))).alias("errors")
-    )
-    keys = units.withColumn("keys", unit_keys("text")).join(listed, "doc_id")
-    return (
-        keys.withColumn("found", F.filter("errors", lambda e: F.array_contains(F.col("keys"), e["key"])))
-        .where(F.size("found") > 0)
-        .drop("keys", "errors", "text")
-    )
+    rest = [c for c in units.columns if c != "text"]
+    keys = units.select(*rest, F.explode_outer(unit_keys("text")).alias("key"))
+    met = keys.join(errors.select("doc_id", "first_pos", "key", "token", "suggestions"), ["doc_id", "key"])
+    found = F.sort_array(F.collect_list(F.struct("first_pos", "key", "token", "suggestions")))
+    return met.groupBy(*rest).agg(found.alias("found"))
 
 
 def unit_comments(units: DataFrame, errors: DataFrame) -> DataFrame:
@@ -167,9 +162,6 @@ def unit_highlight_words(units: DataFrame, errors: DataFrame, extend: bool = Tru
     ``extend`` and the error has four letters or more, the unit's only longer word that starts
     with it is taken, unless another error used it before.
     """
-    listed = errors.groupBy("doc_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("first_pos", "key"))), lambda e: e["key"]).alias("keys")
-    )
     letters = F.regexp_extract_all("text", F.lit("[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+"), F.lit(0))
     last = lambda key: F.element_at("words", F.array_position("lows", key).cast("int"))
 
@@ -204,17 +196,14 @@ def unit_highlight_words(units: DataFrame, errors: DataFrame, extend: bool = Tru
             ),
         )
     )
+    read = units.withColumn("words", F.reverse(letters)).withColumn("lows", F.transform("words", lambda w: F.lower(w)))
+    read = read.withColumn("word_keys", F.array_distinct("lows"))
     # errors that are no word of the unit and no beginning of one cannot give anything
-    touching = F.array_intersect("keys", F.concat("word_keys", starts))
-    return (
-        units.withColumn("words", F.reverse(letters))
-        .withColumn("lows", F.transform("words", lambda w: F.lower(w)))
-        .withColumn("word_keys", F.array_distinct("lows"))
-        .join(listed, "doc_id")
-        .withColumn("keys", touching)
-        .select(*rest, chosen.alias("highlight"))
-        .where(F.size("highlight") > 0)
-    )
+    asked = read.select(*rest, F.explode(F.array_distinct(F.concat("word_keys", starts))).alias("key"))
+    met = asked.join(errors.select("doc_id", "first_pos", "key"), ["doc_id", "key"])
+    ordered = F.sort_array(F.collect_list(F.struct("first_pos", "key")))
+    listed = met.groupBy(*rest).agg(F.transform(ordered, lambda e: e["key"]).alias("keys"))
+    return read.join(listed, rest).select(*rest, chosen.alias("highlight")).where(F.size("highlight") > 0)
 
 
 def runs_of_error(spans: DataFrame, runs: DataFrame, max_runs: int = V.SPLIT_RUNS) -> DataFrame:
@@ -223,7 +212,9 @@ def runs_of_error(spans: DataFrame, runs: DataFrame, max_runs: int = V.SPLIT_RUN
     ``spans``: doc_id, para_ix, start_at, end_at (0-based, end exclusive).  A run that the
     span covers is ``whole``; a run that contains the span is ``inside`` and is cut in
     before, middle and after; a run that the span only crosses is ``crossed`` and stays as
-    it is.  Words split over more than ``max_runs`` runs are left alone.
+    it is.  Words split over more than ``max_runs`` runs are ``left_alone``.
+
+    Spans and runs meet in bins of ``BIN`` characters; a pair is taken in its first common bin.
     """
     so_far = Window.partitionBy("doc_id", "para_ix").orderBy("run_ix").rowsBetween(Window.unboundedPreceding, 0)
     placed = runs.withColumn("run_end", F.sum(F.length("text")).over(so_far)).withColumn(
@@ -232,14 +223,18 @@ def runs_of_error(spans: DataFrame, runs: DataFrame, max_runs: int = V.SPLIT_RUN
     span = Window.partitionBy("doc_id", "para_ix", "start_at", "end_at")
     local_start = F.greatest(F.col("start_at") - F.col("run_start"), F.lit(0))
     local_end = F.least(F.col("end_at"), F.col("run_end")) - F.col("run_start")
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / BIN), F.floor((b - 1) / BIN))).alias("bin")
+    binned = placed.where(F.length("text") > 0).select("*", bins(F.col("run_start"), F.col("run_end")))
     touched = (
-        spans.join(placed, ["doc_id", "para_ix"])
+        spans.select("*", bins(F.col("start_at"), F.col("end_at")))
+        .join(binned, ["doc_id", "para_ix", "bin"])
         .where((F.col("start_at") < F.col("run_end")) & (F.col("end_at") > F.col("run_start")))
+        .where(F.col("bin") == F.floor(F.greatest("start_at", "run_start") / BIN))
         .withColumn("runs", F.count("*").over(span))
-        .where(F.col("runs") <= max_runs)
     )
     cover = (
-        F.when((F.col("start_at") <= F.col("run_start")) & (F.col("end_at") >= F.col("run_end")), "whole")
+        F.when(F.col("runs") > max_runs, "left_alone")
+        .when((F.col("start_at") <= F.col("run_start")) & (F.col("end_at") >= F.col("run_end")), "whole")
         .when((F.col("start_at") >= F.col("run_start")) & (F.col("end_at") <= F.col("run_end")), "inside")
         .otherwise("crossed")
     )

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
+from orthoflow.functions.text import strip
 
 
 def _filled(column: str) -> Column:
-    return F.length(F.trim(F.coalesce(F.col(column), F.lit("")))) > 0
+    return F.length(strip(F.coalesce(F.col(column), F.lit("")))) > 0
 
 
 def active_items(schedules: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def plan_review(items: DataFrame, changed: DataFrame, reviewed: DataFrame) -> Da
 
 def reused_results(items: DataFrame) -> DataFrame:
     """Results of reused items without a new review: errors exist where a review is stored."""
-    path = F.trim(F.coalesce("path_rev", F.lit("")))
+    path = strip(F.coalesce("path_rev", F.lit("")))
     name = F.nullif(F.regexp_extract(F.regexp_replace(path, r"[?#].*$", ""), "([^/]*)/?$", 1), F.lit(""))
     stored = _filled("path_rev")
     return items.select(
@@ -92,7 +93,7 @@ def upsert_review_path(items: DataFrame, results: DataFrame) -> DataFrame:
     done = F.coalesce("ok", F.lit(False))
     clean = done & ~F.coalesce("has_errors", F.lit(False))
     path = (
-        F.when(_filled("_path"), F.substring(F.trim("_path"), 1, V.PATH_CHARS))
+        F.when(_filled("_path"), F.substring(strip("_path"), 1, V.PATH_CHARS))
         .when(clean | F.coalesce("replaced", F.lit(False)), None)
         .otherwise(F.col("path_rev"))
     )
@@ -114,7 +115,7 @@ def apply_row_changes(
     """
     latest = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("op"))
     last = changes.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn")
-    cut_text = F.substring(F.trim(text), 1, max_chars)
+    cut_text = F.substring(strip(text), 1, max_chars)
     usable = last.where((F.col("op") == "D") | _filled(text)).select(
         *keys, "op", cut_text.alias("_text"), *[F.col(v).alias(f"_{v}") for v in values]
     )

@@ -9,7 +9,7 @@ optimizer derive a "size > 0" filter that evaluates the whole array expression a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
@@ -81,40 +81,69 @@ def document_vocabulary(documents: DataFrame, keep: list[str] | None = None) ->
 
 
 def first_occurrence_dedupe(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Keep the first row per key.  Spark limits each partition to one row per key before
-    the shuffle, so frequent keys stay cheap."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
+    """Keep the first row per key, by an aggregation with partial results on the map side.
+
+    ``order``: column names, compared from left to right.  Null keys are a key of their own.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    best = F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row")))
+    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, *[F.col(f"_best.row.`{c}`") for c in rest]).select(df.columns)
+
+
+BLOCK = 256
+
+
+def running_ends(sizes: Column | str) -> Column:
+    """Running sums of an array of numbers, in the row.
+
+    The array is summed in blocks of ``BLOCK``: appending to an array copies it, so only short ones
+    are grown.
+    """
+    sizes = F.col(sizes) if isinstance(sizes, str) else sizes
+    grow = lambda acc, x: F.struct(
+        (acc["at"] + x).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + x)).alias("ends")
+    )
+    none = F.array().cast("array<int>")
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.slice(sizes, b * BLOCK + 1, BLOCK)
+    )
+    with_sum = F.transform(
+        blocks, lambda b: F.struct(b.alias("b"), F.aggregate(b, F.lit(0), lambda s, x: s + x).alias("sum"))
+    )
+    started = F.aggregate(
+        with_sum,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,b:array<int>>>").alias("out")),
+        lambda acc, w: F.struct(
+            (acc["at"] + w["sum"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), w["b"].alias("b")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    ends = F.flatten(
+        F.transform(started, lambda s: F.aggregate(s["b"], F.struct(s["at"].alias("at"), none.alias("ends")), grow, lambda a: a["ends"]))
+    )
+    return F.when(F.size(sizes) > 0, ends).otherwise(none)
 
 
 def token_offsets(documents: DataFrame, pattern: str = V.WORD, keep: list[str] | None = None) -> DataFrame:
-    """Start and end (0-based, end exclusive) of every match of ``pattern``.
+    """Start and end (0-based, end exclusive) of every match of ``pattern``, found in the row.
 
-    The text is cut in alternating gaps and matches.  It is moved to its document's
-    partition before the cut, so only the text itself is shuffled and the running sum
-    needs no further exchange.
+    The text is cut in alternating gaps and matches, and a running sum of their lengths gives the
+    ends.  Nothing is shuffled.
     """
     keep = keep if keep is not None else [c for c in documents.columns if c != "text"]
-    pieces = (
-        documents.select(*keep, "text")
-        .repartition("doc_id")
-        .select(
-            *keep,
-            F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"),
-            F.split("text", pattern, -1).alias("gaps"),
-        )
-        .select(*keep, F.posexplode_outer(F.arrays_zip("hits", "gaps")).alias("pos", "p"))
-        .where("p.hits is not null")
-        .select(
-            *keep,
-            "pos",
-            F.col("p.hits").alias("token"),
-            F.length("p.gaps").alias("gap"),
-            F.length("p.hits").alias("size"),
-        )
+    hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    cut_up = documents.select(*keep, hits.alias("hits"), F.split("text", pattern, -1).alias("gaps"))
+    sized = cut_up.select(
+        *keep, "hits",
+        F.zip_with("hits", F.slice("gaps", F.lit(1), F.size("hits")), lambda h, g: F.length(h) + F.length(g)).alias("sizes"),
     )
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.col("size")).over(before)
-    return pieces.select(*keep, "pos", "token", end.alias("end"), "size").select(
-        *keep, "pos", "token", (F.col("end") - F.col("size")).alias("start_at"), F.col("end").alias("end_at")
+    ended = sized.select(*keep, F.arrays_zip(F.col("hits").alias("token"), running_ends("sizes").alias("end_at")).alias("found"))
+    rows = ended.select(*keep, F.posexplode_outer("found").alias("pos", "f")).where("f is not null")
+    return rows.select(
+        *keep,
+        "pos",
+        F.col("f.token").alias("token"),
+        (F.col("f.end_at") - F.length("f.token")).cast("bigint").alias("start_at"),
+        F.col("f.end_at").cast("bigint").alias("end_at"),
     )

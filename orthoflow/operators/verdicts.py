@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
-from orthoflow.functions.text import short_reason
+from orthoflow.functions.text import short_reason, strip
 
 ANSWER_SCHEMA = "items array<struct<palabra string, es_error_ortografico boolean, motivo string>>"
 
@@ -30,19 +30,20 @@ def batch_prompts(batched: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """Verdict rows of raw JSON answers (doc_id, arrival, answer).
+    """Verdict rows of raw JSON answers (doc_id, arrival, answer); ``pos`` counts the items of one.
 
     An answer that cannot be parsed gives one row with ``failed`` and no word.
     """
     parsed = F.from_json("answer", ANSWER_SCHEMA)
     items = answers.select("doc_id", "arrival", parsed["items"].alias("items"))
     rows = items.select(
-        "doc_id", "arrival", F.col("items").isNull().alias("failed"), F.explode_outer("items").alias("item")
+        "doc_id", "arrival", F.col("items").isNull().alias("failed"), F.posexplode_outer("items").alias("pos", "item")
     )
-    word = F.trim(F.coalesce(F.col("item.palabra"), F.lit("")))
+    word = strip(F.coalesce(F.col("item.palabra"), F.lit("")))
     return rows.select(
         "doc_id",
         "arrival",
+        "pos",
         "failed",
         word.alias("word"),
         F.coalesce("item.es_error_ortografico", F.lit(False)).alias("is_error"),
@@ -51,10 +52,13 @@ def parse_answers(answers: DataFrame) -> DataFrame:
 
 
 def apply_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Candidates with the last verdict per word; no verdict means discarded."""
+    """Candidates with the last verdict per word; no verdict means discarded.
+
+    The last answer wins, and inside one answer the last item (``pos``, where there is one)."""
+    pos = F.col("pos") if "pos" in verdicts.columns else F.lit(0).alias("pos")
     last = (
         verdicts.groupBy("doc_id", F.lower("word").alias("key"))
-        .agg(F.max(F.struct("arrival", "is_error", "reason")).alias("v"))
+        .agg(F.max(F.struct("arrival", pos, "is_error", "reason")).alias("v"))
         .select("doc_id", "key", F.col("v.is_error").alias("_error"), short_reason("v.reason").alias("_reason"))
     )
     return (
@@ -77,6 +81,13 @@ def second_layer(candidates: DataFrame, verdicts: DataFrame, failed: DataFrame)
     )
 
 
+def second_layer_from_answers(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """Decided candidates straight from raw answers: parse, take the last verdict of each word, and
+    keep all candidates of a document one of whose answers cannot be read."""
+    rows = parse_answers(answers)
+    return second_layer(candidates, rows.where(~F.col("failed")), rows.where("failed"))
+
+
 def verdict_summary(decided: DataFrame) -> DataFrame:
     """Per document: candidates, confirmed, discarded, fallback, and the first 100 discards."""
     discarded = ~F.col("confirmed")

@@ -12,6 +12,11 @@ from orthoflow.operators import lexicon as L
 from orthoflow.session import cut
 
 
+def curated(keep: DataFrame, variant: str) -> DataFrame:
+    """Curated words that may be added: valid ones, and for loanwords all."""
+    return keep if variant == "loanword" else keep.where(valid_word("word"))
+
+
 def expand_package(
     seeds: DataFrame,
     roots: DataFrame,
@@ -37,7 +42,7 @@ def expand_package(
     if denied is not None:
         bag = L.deny(bag, denied)
     bag = L.orthography_filter(bag, reference, variant)
-    return bag if keep is None else L.force_keep(bag, keep)
+    return bag if keep is None else L.force_keep(bag, curated(keep, variant))
 
 
 def build_package(

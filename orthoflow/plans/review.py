@@ -13,6 +13,7 @@ from orthoflow.functions.text import (
     scrub_non_lexical,
     should_ignore,
     should_ignore_older,
+    strip,
     words,
 )
 from orthoflow.operators.lookup import (
@@ -20,10 +21,11 @@ from orthoflow.operators.lookup import (
     classify,
     classify_two_languages,
     out_of_lexicon,
+    prepare_lexicon,
     top_suggestions,
 )
 from orthoflow.operators.tokens import document_vocabulary
-from orthoflow.session import broadcast_if_small, cut, spread, spread_lookup
+from orthoflow.session import cut, spread_lookup
 
 
 def judged_words(vocabulary: DataFrame) -> DataFrame:
@@ -51,13 +53,13 @@ def _errors(vocabulary: DataFrame, lexicon: DataFrame) -> DataFrame:
     Known words are removed next to the scan, so only unknown words are stored, shuffled
     and compared with the lexicon, and each distinct one only once.
     """
-    lexicon = cut(lexicon.select("lang", "word", "df"), "lexicon")
-    unknown = cut(out_of_lexicon(judged_words(vocabulary), broadcast_if_small(lexicon)), "unknown")
+    lexicon = prepare_lexicon(lexicon)
+    unknown = cut(out_of_lexicon(judged_words(vocabulary), lexicon), "unknown")
     distinct = cut(
         unknown.groupBy("lang", "token").agg(F.count("*").alias("documents")).withColumn("fold", fold("token")),
         "distinct",
     )
-    verdicts = check_words(distinct, lexicon)
+    verdicts = cut(check_words(distinct, lexicon), "verdicts")
     return spread_lookup(unknown, verdicts, ["lang", "token"], weight="documents", spread_by="doc_id")
 
 
@@ -66,7 +68,7 @@ def find_errors(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     Words are taken once per document by lower-case form, with the casing that comes first.
     """
-    return _errors(document_vocabulary(spread(documents), ["doc_id", "lang"]), lexicon)
+    return _errors(document_vocabulary(documents, ["doc_id", "lang"]), lexicon)
 
 
 def collect_corrections(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -74,8 +76,7 @@ def collect_corrections(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     first suggestion in the same casing; corrections that change nothing are dropped."""
     exact = F.array_distinct(words(scrub_non_lexical("text")))
     vocabulary = (
-        spread(documents)
-        .select("doc_id", "lang", F.posexplode_outer(exact).alias("first_pos", "token"))
+        documents.select("doc_id", "lang", F.posexplode_outer(exact).alias("first_pos", "token"))
         .where("token is not null")
         .withColumn("key", F.lower("token"))
     )
@@ -97,7 +98,7 @@ def check_words_two_languages(words_: DataFrame, lexicon: DataFrame, main: list[
         "lang", F.when(F.col("lang").isin(*main), "main").otherwise("other")
     )
     groups = cut(groups.groupBy("lang", "word").agg(F.max("df").alias("df")), "lexicon")
-    entries = broadcast_if_small(groups.select("word").distinct())
+    entries = cut(groups.groupBy("word").agg(F.max("df").alias("df")), "entries")
     unknown = cut(out_of_lexicon(judged, entries, []).withColumn("fold", fold("token")), "unknown")
     folds = unknown.select("fold").distinct()
     both = F.explode(F.array(F.lit("main"), F.lit("other")))
@@ -118,7 +119,7 @@ def document_results(documents: DataFrame, errors: DataFrame, marking: bool = Fa
 
     Documents and errors are stacked and grouped once, instead of joined.
     """
-    blank = F.length(F.trim(F.regexp_replace("text", r"(?U)\s+", " "))) == 0
+    blank = F.length(strip("text")) == 0
     stacked = documents.select("doc_id", blank.alias("blank"), F.lit(None).alias("error")).unionByName(
         errors.select(
             "doc_id",

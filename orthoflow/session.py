@@ -1,17 +1,20 @@
-"""Session helpers: lineage cuts in the shared folder and size-checked broadcasts."""
+"""Session helpers: lineage cuts in the shared folder, their removal, and a salted lookup."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 5_000_000
 HOT_ROWS = 1_000_000
+HOT_KEYS = 1_000
 
 _local_dirs: dict[str, str] = {}
+_open_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,32 +34,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The result survives lost executors, is not recomputed by its readers, and carries
-    real file sizes, so later joins are planned on measured statistics.
+    real file sizes, so later joins are planned on measured statistics: Spark broadcasts a
+    side only when its stored size is within ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Give a small input (fewer partitions than cores) a partition per core.
-
-    Inputs of any size that matters have more partitions and are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
-
-    Call it on a stored table (or on the result of :func:`cut`): the check reads at most
-    ``max_rows + 1`` rows.  Beyond the bound the frame is returned as it is, and Spark
-    joins it by shuffle.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside are deleted at the end; use it around work whose result is stored."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def spread_lookup(
@@ -66,23 +64,22 @@ def spread_lookup(
     weight: str,
     spread_by: str,
     hot_rows: int = HOT_ROWS,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """Inner join of many ``rows`` with a ``table`` that has one row per key.
 
     ``table[weight]`` holds how many rows of the big side carry the key (known from the
-    aggregation that built the table).  A key with at least ``hot_rows`` rows is cut into
-    ``ceil(weight / hot_rows)`` salted parts on both sides, so that no task gets all rows
-    of a frequent word.  There are at most total/hot_rows such keys, which bounds the
-    broadcast of the hot list.
+    aggregation that built the table).  The ``hot_keys`` heaviest keys are cut in parts of
+    ``hot_rows`` rows on both sides, so that no task gets all rows of a frequent word.  Only
+    this list of fixed length is broadcast.
     """
-    hot = table.where(F.col(weight) >= hot_rows).select(
-        *keys, F.ceil(F.col(weight) / F.lit(hot_rows)).cast("int").alias("_parts")
-    )
+    parts = F.greatest(F.ceil(F.col(weight) / F.lit(hot_rows)).cast("int"), F.lit(1)).alias("_parts")
+    hot = table.orderBy(F.desc(weight), *keys).limit(hot_keys).select(*keys, parts)
     salted_rows = (
         rows.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_parts", F.lit(1))).cast("int"))
         .drop("_parts")
     )
-    parts = F.greatest(F.ceil(F.col(weight) / F.lit(hot_rows)).cast("int"), F.lit(1))
-    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(weight)
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    salted_table = table.join(F.broadcast(hot), keys, "left").withColumn("_salt", salts).drop(weight, "_parts")
     return salted_rows.join(salted_table, [*keys, "_salt"]).drop("_salt")

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.functions.text import has_diacritic, valid_word
+from orthoflow.functions.text import has_diacritic, strip, valid_word
 
 
 def parse_lexicon_lines(lines: DataFrame) -> DataFrame:
     """``word/FLAGS`` lines: the count line and lines that start with a digit are skipped."""
-    raw = F.trim("line")
+    raw = strip("line")
     return (
         lines.withColumn("line", raw)
         .where((F.length("line") > 0) & ~F.rlike("line", F.lit(r"^\d")))
-        .withColumn("word", F.trim(F.split_part("line", F.lit("/"), F.lit(1))))
-        .withColumn("flags", F.trim(F.regexp_extract("line", r"/(.*)$", 1)))
+        .withColumn("word", strip(F.split_part("line", F.lit("/"), F.lit(1))))
+        .withColumn("flags", strip(F.regexp_extract("line", r"/(.*)$", 1)))
         .drop("line")
         .where(F.length("word") > 0)
         .withColumn("has_diacritic", has_diacritic("word"))
@@ -28,10 +28,11 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 def read_wordlist(spark: SparkSession, path: str, validate: bool = True, **bounds) -> DataFrame:
     """One word per line; blank lines and ``#`` lines are skipped; the first column counts."""
-    word = F.split_part(F.trim("value"), F.lit(" "), F.lit(1))
+    value = strip("value")
+    word = F.split(value, r"\s+")[0]
     words = (
         spark.read.text(path)
-        .where((F.length(F.trim("value")) > 0) & ~F.startswith(F.trim("value"), F.lit("#")))
+        .where((F.length(value) > 0) & ~F.startswith(value, F.lit("#")))
         .select(word.alias("word"))
     )
     return words.where(valid_word("word", **bounds)) if validate else words
