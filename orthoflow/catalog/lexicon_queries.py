@@ -418,7 +418,7 @@ e0 AS (SELECT * FROM seeds UNION SELECT * FROM hv UNION SELECT * FROM a WHERE le
   UNION SELECT * FROM b WHERE length(word) BETWEEN 6 AND 42 AND {LETTERS_OK}),
 g0 AS (SELECT pkg, unnest({_gender_sql(V.GENDER_PAIRS)}) AS word FROM e0 WHERE {valid('word')}),
 e1 AS (SELECT DISTINCT pkg, word FROM g0 WHERE {valid('word')} AND lower(word) NOT IN ('the', 'of', 'and')),
-{_filtered('e1', 'x1')}, xk AS (SELECT * FROM x1 UNION SELECT 'es', word FROM bench)"""
+{_filtered('e1', 'x1')}, xk AS (SELECT * FROM x1 UNION SELECT 'es', word FROM bench WHERE {valid('word')})"""
 
 
 @query(f"WITH {EXPAND} SELECT pkg, word FROM xk")
@@ -439,3 +439,39 @@ def expand_package(spark, sf):
 
 
 from orthoflow.functions.text import valid_word as T_valid  # noqa: E402
+
+
+# Four packages, each with its own rule; the last one takes words of the first when that is finished.
+PACKAGE_RULES = {
+    "es": G.PackageRule("general", title_keys=TITLES),
+    "en": G.PackageRule("dental", min_length=3, max_length=20),
+    "fr": G.PackageRule("clinical", min_length=4),
+    "de": G.PackageRule("general", min_length=5, harvest_from="es", harvest_markers=("ci", "est")),
+}
+
+
+def _package_sql(tag, source, pkg):
+    """SQL of one package from the words of ``source`` (pkg, word), finished in CTE ``{tag}done``."""
+    rule = PACKAGE_RULES[pkg]
+    ok = f"{valid('word', rule.min_length, rule.max_length)} AND lower(word) NOT IN ('the', 'of', 'and')"
+    titles = _in("lower(word)", rule.title_keys) if rule.title_keys else "false"
+    seeds = f"UNION SELECT '{pkg}', word FROM bench" if pkg == "es" else ""
+    return f"""{tag}0 AS (SELECT DISTINCT pkg, word FROM {source} WHERE {ok}),
+{tag}1 AS (SELECT * FROM {tag}0 UNION SELECT pkg, upper(word[1]) || word[2:] FROM {tag}0 WHERE {titles} AND regexp_matches(word, '^\\p{{Ll}}')),
+{tag}p AS (SELECT pkg, {PLURAL_SQL[rule.plural_rule]} AS word FROM {tag}1),
+{tag}2 AS (SELECT * FROM {tag}1 UNION SELECT * FROM {tag}p WHERE word IS NOT NULL AND {ok}),
+{_filtered(tag + '2', tag + 'k')}, {tag}3 AS (SELECT * FROM {tag}k {seeds}), {_filtered(tag + '3', tag + 'done')}"""
+
+
+PACKAGES = ",\n".join(
+    f"{p}w AS (SELECT pkg, word FROM cased WHERE pkg = '{p}'"
+    + (f" UNION SELECT '{p}', word FROM {r.harvest_from}done WHERE {_any('lower(word)', r.harvest_markers)}" if r.harvest_from else "")
+    + f"), {_package_sql(p, p + 'w', p)}"
+    for p, r in PACKAGE_RULES.items()
+)
+
+
+@query(f"WITH {REF}, {BENCH}, {PACKAGES} " + " UNION ALL ".join(f"SELECT pkg, word FROM {p}done" for p in PACKAGE_RULES))
+def build_packages(spark, sf):
+    seeds = benchmark_words(spark, sf).select(F.lit("es").alias("pkg"), "word")
+    return G.build_packages(cased_words(spark, sf), PACKAGE_RULES, denied(spark, sf), seeds, reference(spark, sf))

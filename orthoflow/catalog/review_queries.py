@@ -135,29 +135,6 @@ def document_results(spark, sf):
     return _flat(results).select("doc_id", "ok", "has_errors", "total_errors", "errors")
 
 
-@query(f"""WITH {ERRORS}, {RESULTS} SELECT doc_id, coalesce((SELECT string_agg(token || ':' || suggestions, ';' ORDER BY first_pos)
-  FROM err WHERE err.doc_id = res.doc_id), '') AS shown FROM res""")
-def public_errors(spark, sf):
-    shown = Q.public_errors(Q.document_results(documents(spark, sf), errors(spark, sf)))
-    one = lambda e: F.concat_ws(":", e["palabra"], F.array_join(e["sugerencias"], ","))
-    return shown.select("doc_id", F.array_join(F.transform("errors", one), ";").alias("shown"))
-
-
-@query(f"""WITH {ERRORS}, {RESULTS} SELECT doc_id, has_errors AS tiene_errores, total_errors AS total_errores,
-  CASE WHEN has_errors THEN total_errors END AS detail FROM res""")
-def errors_report(spark, sf):
-    results = cut(Q.document_results(documents(spark, sf), errors(spark, sf)), "results")
-    details = results.select("doc_id", F.struct(F.col("total_errors").alias("resaltados")).alias("details"))
-    reports = Q.errors_report(results, details)
-    path = lambda p, t: F.get_json_object("report", p).cast(t)
-    return reports.select(
-        path("$.id", "bigint").alias("doc_id"),
-        path("$.tiene_errores", "boolean").alias("tiene_errores"),
-        path("$.total_errores", "int").alias("total_errores"),
-        path("$.marcacion_detalle.resaltados", "int").alias("detail"),
-    )
-
-
 TOP = """c AS (SELECT d.source, e.key, count(*) AS documents FROM err e JOIN documents d USING (doc_id) GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY documents DESC, key)::INTEGER AS place FROM c)"""
 
@@ -484,3 +461,47 @@ def batch_summary(spark, sf):
     return Q.batch_summary(
         sources.join(counts, "doc_id", "left").select("source", none("candidates"), none("confirmed")), ["source"]
     )
+
+
+def confirmed_results(spark, sf):
+    """Results with the errors that the second layer has confirmed, and its summary."""
+    found = cut(candidates(spark, sf), "candidates")
+    decided = cut(D.second_layer_from_answers(found, raw_answers(spark, sf, found)), "decided")
+    return Q.document_results(documents(spark, sf), decided.where("confirmed")), D.verdict_summary(decided)
+
+
+CONFIRMED = """cf AS (SELECT sl.*, a.kind, a.suggestions FROM sl JOIN ans a USING (doc_id, key) WHERE sl.confirmed)"""
+
+
+@query(f"""WITH {ERRORS}, {ANSWERED}, {CONFIRMED} SELECT doc_id, coalesce((SELECT string_agg(
+    concat_ws(':', token, suggestions, reason), ';' ORDER BY first_pos) FROM cf WHERE cf.doc_id = d.doc_id), '') AS shown FROM documents d""")
+def public_errors(spark, sf):
+    shown = Q.public_errors(confirmed_results(spark, sf)[0])
+    one = lambda e: F.concat_ws(":", e["palabra"], F.array_join(e["sugerencias"], ","), e["llm_motivo"])
+    return shown.select("doc_id", F.array_join(F.transform("errors", one), ";").alias("shown"))
+
+
+@query(f"""WITH {ERRORS}, {ANSWERED}, {CONFIRMED},
+  es AS (SELECT doc_id, list({{'palabra': token, 'tipo': kind, 'sugerencias': string_split(suggestions, ',')}} ORDER BY first_pos) AS errores FROM cf GROUP BY 1),
+  su AS (SELECT doc_id, count(*) AS n, count(*) FILTER (confirmed) AS c, count(*) FILTER (NOT confirmed) AS x, bool_or(fallback) AS fb FROM sl GROUP BY 1),
+  j AS (SELECT d.doc_id, d.source, coalesce(len(errores), 0)::INTEGER AS t, errores, coalesce(n, 0) AS n,
+    {{'confirmados': coalesce(c, 0), 'descartados': coalesce(x, 0), 'fallback': coalesce(fb, false)}} AS llm
+    FROM documents d LEFT JOIN es USING (doc_id) LEFT JOIN su USING (doc_id))
+  SELECT doc_id, CASE WHEN t > 0 THEN to_json({{'generado_en': '2020-01-02T03:04:05.000000+00:00', 'id': doc_id,
+      'archivo_original': source || '.docx', 'tiene_errores': true, 'total_errores': t, 'errores': errores, 'documento_rev': 'rev/' || doc_id,
+      'reporte_errores': 'rep/' || doc_id, 'marcacion_detalle': {{'resaltados': t}}, 'capa_llm': true, 'candidatos_libreoffice': n, 'llm': llm}})::VARCHAR
+    ELSE to_json({{'generado_en': '2020-01-02T03:04:05.000000+00:00', 'id': doc_id, 'archivo_original': source || '.docx', 'tiene_errores': false,
+      'total_errores': 0, 'errores': []::VARCHAR[], 'documento_rev': 'rev/' || doc_id, 'reporte_errores': 'rep/' || doc_id,
+      'capa_llm': true, 'candidatos_libreoffice': n, 'llm': llm}})::VARCHAR END AS report FROM j""")
+def errors_report(spark, sf):
+    results, summary = confirmed_results(spark, sf)
+    results = cut(results, "results")
+    details = results.select("doc_id", F.struct(F.col("total_errors").alias("resaltados")).alias("details"))
+    of = lambda head: F.concat(F.lit(head), F.col("doc_id").cast("string"))
+    files = documents(spark, sf).select(
+        "doc_id", F.concat("source", F.lit(".docx")).alias("archivo_original"), of("rev/").alias("documento_rev"),
+        of("rep/").alias("reporte_errores"),
+    )
+    second = summary.select("doc_id", "candidates", "confirmed", "discarded", "fallback")
+    at = F.to_timestamp(F.lit("2020-01-02 03:04:05"))
+    return Q.errors_report(results, details, files, second, at)

@@ -135,7 +135,7 @@ def encoding_repair(spark, sf):
 HTML = "html"
 for _p in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
     HTML = f"regexp_replace({HTML}, {q(_p)}, ' ', 'g')"
-for _e, _s in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+for _e, _s in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     HTML = f"replace({HTML}, '{_e}', '{_s}')"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
@@ -28,6 +28,9 @@ from orthoflow.operators.tokens import document_vocabulary
 from orthoflow.session import cut, spread_lookup
 
 
+ERROR_FIELDS = ["first_pos", "token", "kind", "suggestions", "reason"]
+
+
 def judged_words(vocabulary: DataFrame) -> DataFrame:
     """Words that the review looks at: three letters or more, not capitals, numbers, addresses."""
     return vocabulary.where(
@@ -117,14 +120,14 @@ def check_words_two_languages(words_: DataFrame, lexicon: DataFrame, main: list[
 def document_results(documents: DataFrame, errors: DataFrame, marking: bool = False) -> DataFrame:
     """One row per document with its ordered errors; blank documents are flagged.
 
-    Documents and errors are stacked and grouped once, instead of joined.
+    Errors that a second layer has confirmed carry its ``reason``.  Documents and errors are stacked and grouped once, instead of joined.
     """
     blank = F.length(strip("text")) == 0
     stacked = documents.select("doc_id", blank.alias("blank"), F.lit(None).alias("error")).unionByName(
         errors.select(
             "doc_id",
             F.lit(None).cast("boolean").alias("blank"),
-            F.struct("first_pos", "token", "kind", "suggestions").alias("error"),
+            F.struct(*[c for c in ERROR_FIELDS if c in errors.columns]).alias("error"),
         )
     )
     blank_message = V.NO_CONTENT if marking else V.NO_TEXT
@@ -146,26 +149,44 @@ def document_results(documents: DataFrame, errors: DataFrame, marking: bool = Fa
 
 
 def public_errors(results: DataFrame) -> DataFrame:
-    """Errors as shown to users: without the kind, with a reason only where there is one."""
+    """Errors as shown to users: without the kind, and with ``llm_motivo`` only where there is a reason."""
+    with_reason = "reason" in results.schema["errors"].dataType.elementType.names
+    reason = lambda e: F.nullif(e["reason"], F.lit("")) if with_reason else F.lit(None).cast("string")
     return results.withColumn(
         "errors",
         F.transform(
             "errors",
-            lambda e: F.struct(e["token"].alias("palabra"), e["suggestions"].alias("sugerencias")),
+            lambda e: F.struct(
+                e["token"].alias("palabra"), e["suggestions"].alias("sugerencias"), reason(e).alias("llm_motivo")
+            ),
         ),
     )
 
 
-def errors_report(results: DataFrame, details: DataFrame | None = None) -> DataFrame:
-    """One JSON report per document; details of the marking only where errors exist."""
-    if details is not None:
-        results = results.join(details, "doc_id", "left")
-        detail = F.when(F.col("has_errors"), F.col("details"))
-    else:
-        detail = F.lit(None).cast("string")
-    report = F.struct(
-        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("generado_en"),
+def errors_report(
+    results: DataFrame,
+    details: DataFrame | None = None,
+    files: DataFrame | None = None,
+    second_layer: DataFrame | None = None,
+    at: Column | None = None,
+) -> DataFrame:
+    """One JSON report per document.
+
+    ``details`` (doc_id, details): what marking did, reported only where errors exist.  ``files`` (doc_id,
+    archivo_original, documento_rev, reporte_errores): name of the source and keys of the outputs.
+    ``second_layer``: the summary of its verdicts (doc_id, candidates, confirmed, discarded, fallback); with
+    it the report says that there was one.  ``at``: the time of the report, else now.  Fields without value
+    are left out.
+    """
+    for more in (details, files, second_layer):
+        if more is not None:
+            results = results.join(more, "doc_id", "left")
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()) if at is None else at
+    field = lambda there, name: F.col(name) if there is not None else F.lit(None).cast("string")
+    report = [
+        F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("generado_en"),
         F.col("doc_id").alias("id"),
+        field(files, "archivo_original").alias("archivo_original"),
         F.col("has_errors").alias("tiene_errores"),
         F.col("total_errors").alias("total_errores"),
         F.transform(
@@ -174,9 +195,22 @@ def errors_report(results: DataFrame, details: DataFrame | None = None) -> DataF
                 e["token"].alias("palabra"), e["kind"].alias("tipo"), e["suggestions"].alias("sugerencias")
             ),
         ).alias("errores"),
-        detail.alias("marcacion_detalle"),
-    )
-    return results.select("doc_id", F.to_json(report).alias("report"))
+        field(files, "documento_rev").alias("documento_rev"),
+        field(files, "reporte_errores").alias("reporte_errores"),
+        F.when(F.col("has_errors"), field(details, "details")).alias("marcacion_detalle"),
+    ]
+    if second_layer is not None:
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+        report += [
+            F.lit(True).alias("capa_llm"),
+            zero("candidates").alias("candidatos_libreoffice"),
+            F.struct(
+                zero("confirmed").alias("confirmados"),
+                zero("discarded").alias("descartados"),
+                F.coalesce("fallback", F.lit(False)).alias("fallback"),
+            ).alias("llm"),
+        ]
+    return results.select("doc_id", F.to_json(F.struct(*report)).alias("report"))
 
 
 def batch_summary(results: DataFrame, group: list[str]) -> DataFrame:

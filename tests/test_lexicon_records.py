@@ -8,7 +8,10 @@ from orthoflow.operators import lexicon as L
 from orthoflow.operators import records as R
 from orthoflow.plans import packages as G
 from orthoflow.sources import lexicon_files as S
-from orthoflow.streaming.review_stream import review_stream, reviewed
+from orthoflow.session import cut, scratch
+from orthoflow.sources.lexicon_files import read_wordlist
+from orthoflow.sources.units import html_text, repaired_text
+from orthoflow.streaming.review_stream import review_batch, review_stream, reviewed
 
 
 def bag(spark, *words, pkg="p"):
@@ -109,3 +112,52 @@ def test_stream_reviews_new_and_changed_documents_once(spark):
     assert run() == {1: 0, 2: 0}
     batches = spark.read.parquet(f"{base}/out").groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in batches} == {1: 2, 2: 1}
+
+
+def test_stream_keeps_late_reverted_and_out_of_order_versions(spark):
+    base = tempfile.mkdtemp()
+    lexicon = spark.createDataFrame([("es", "casación", 5)], "lang string, word string, df long")
+    day = lambda n: datetime.datetime(2026, 1, n)
+
+    def run(*rows):
+        new = spark.createDataFrame([(d, "es", t, day(n)) for d, t, n in rows], "doc_id long, lang string, text string, ts timestamp")
+        new.coalesce(1).write.parquet(f"{base}/in", mode="append")
+        stream = spark.readStream.schema(new.schema).parquet(f"{base}/in")
+        review_stream(stream, "ts", lexicon, f"{base}/out", f"{base}/ckpt").awaitTermination()
+        return {r.doc_id: r.total_errors for r in reviewed(spark, f"{base}/out").collect()}
+
+    assert run((1, "casacion", 10), (2, "casacion", 10)) == {1: 1, 2: 1}
+    assert run((1, "bien", 11), (3, "casacion", 2)) == {1: 0, 2: 1, 3: 1}  # a change, and a late new document
+    assert run((1, "casacion", 12)) == {1: 1, 2: 1, 3: 1}  # back to earlier content
+    assert run((1, "bien", 9), (2, "casacion", 13)) == {1: 1, 2: 1, 3: 1}  # older version; same content again
+    assert run((2, "bien", 12)) == {1: 1, 2: 1, 3: 1}  # older than the repeat
+    assert spark.read.parquet(f"{base}/out").where("doc_id = 2").count() == 1
+
+
+def test_replayed_batch_stores_nothing_twice(spark):
+    base = tempfile.mkdtemp()
+    lexicon = spark.createDataFrame([("es", "casación", 5)], "lang string, word string, df long")
+    batch = spark.createDataFrame([(1, "es", "casacion", datetime.datetime(2026, 1, 1))], "doc_id long, lang string, text string, ts timestamp")
+    for _ in range(2):
+        review_batch(batch, 0, lexicon, f"{base}/out")
+    review_batch(batch, 1, lexicon, f"{base}/out")
+    assert spark.read.parquet(f"{base}/out").count() == 1
+
+
+def test_tables_of_a_scratch_scope_are_deleted(spark):
+    with scratch(spark):
+        table = cut(spark.range(3), "three")
+        path = table.inputFiles()[0].split("//", 1)[-1]
+        assert table.count() == 3
+    assert not os.path.exists(path)
+
+
+def test_tabs_and_line_ends_are_white_space(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("gastritis\t123\n\t# note\n  \n\tcolitis \n")
+    words = {r.word for r in read_wordlist(spark, str(tmp_path / "words.txt")).collect()}
+    assert words == {"gastritis", "colitis"}
+    html = "<p>acci&oacute;n a&#241;o a&#xF1;o &lt;b&gt; &amp;lt; &nope; &#1114112;\u00a0x</p>"
+    row = spark.createDataFrame([(html, b"\x93hola\x94 \x80 \xe9\x81")], "h string, b binary").select(
+        html_text("h").alias("h"), repaired_text("b").alias("b")
+    ).first()
+    assert row.h == "acción año año <b> &lt; &nope; &#1114112; x" and row.b == "“hola” € é\x81"

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 from orthoflow.operators import lookup as J
 from orthoflow.operators import marking as M
 from orthoflow.operators import verdicts as D
-from orthoflow.operators.tokens import document_vocabulary, token_offsets
+from orthoflow.operators.tokens import document_vocabulary, running_ends, token_offsets
 from orthoflow.plans import review as Q
 from orthoflow.session import spread_lookup
 from orthoflow.sources import units as U
@@ -125,7 +126,7 @@ def test_split_word_over_runs(spark):
     spans = spark.createDataFrame([(1, 0, 3, 15)], "doc_id long, para_ix int, start_at int, end_at int")
     got = {r.run_ix: (r.cover, r.middle) for r in M.runs_of_error(spans, runs).collect()}
     assert got == {0: ("crossed", "Introducci"), 1: ("whole", "ó"), 2: ("crossed", "n")}
-    assert M.runs_of_error(spans, runs, max_runs=2).count() == 0
+    assert {r.cover for r in M.runs_of_error(spans, runs, max_runs=2).collect()} == {"left_alone"}
 
 
 def highlight(text, keys, extend=True):
@@ -177,3 +178,39 @@ def test_verdicts_missing_failed_and_last(spark):
 def test_offsets(spark):
     docs = spark.createDataFrame([(1, "  año, O'Connor x")], "doc_id long, text string")
     assert [tuple(r)[2:] for r in token_offsets(docs).orderBy("pos").collect()] == [("año", 2, 5), ("O'Connor", 7, 15), ("x", 16, 17)]
+
+
+def test_out_of_lexicon_without_broadcast(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(3)) for _ in range(400)]
+    cased = [rng.choice([w, w.title(), w.upper()]) for w in words]
+    known = set(words[:60])
+    rows = spark.createDataFrame([(i, "es", w) for i, w in enumerate(cased)], "doc_id long, lang string, token string")
+    want = {i for i, w in enumerate(cased) if not (w in known or (w.lower() in known and (w.isupper() or w.istitle())))}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert {r.doc_id for r in J.out_of_lexicon(rows, lexicon(spark, *known)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_last_item_of_an_answer_wins(spark):
+    found = spark.createDataFrame([(1, 0, "x", "x", "tilde")], "doc_id long, first_pos int, key string, token string, kind string")
+    answer = '{"items": [{"palabra": "x", "es_error_ortografico": true}, {"palabra": "\\tX\\n", "es_error_ortografico": false}]}'
+    answers = spark.createDataFrame([(1, 0, answer)], "doc_id long, arrival long, answer string")
+    assert [r.confirmed for r in D.second_layer_from_answers(found, answers).collect()] == [False]
+
+
+def test_running_ends(spark):
+    rng = random.Random(5)
+    lists = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1300)]
+    got = spark.createDataFrame([(x,) for x in lists], "x array<int>").select(running_ends("x").alias("e")).collect()
+    assert [r.e for r in got] == [list(itertools.accumulate(x)) for x in lists]
+
+
+def test_words_over_many_runs_are_left_alone(spark):
+    spans = spark.createDataFrame([(1, 0, 2, 200), (1, 0, 3, 5)], "doc_id long, para_ix int, start_at long, end_at long")
+    runs = U.runs_from_units(spark.createDataFrame([(1, 0, "x" * 210)], "doc_id long, unit_ix int, text string"), 20)
+    got = sorted((r.start_at, r.run_ix, r.cover) for r in M.runs_of_error(spans, runs).collect())
+    assert got == [(2, i, "left_alone") for i in range(10)] + [(3, 0, "inside")]
