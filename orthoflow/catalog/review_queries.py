@@ -215,7 +215,21 @@ def unit_comments(spark, sf):
     return M.unit_comments(lines(spark, sf).drop("lang"), errors(spark, sf))
 
 
-@query()
+# the word that an error takes in a unit: itself, or the only longer word that begins with it
+TAKEN = """CASE WHEN list_contains(acc.used, x.key) THEN NULL WHEN list_contains(ks, x.key) THEN x.key
+    WHEN length(x.key) >= 4 AND len(list_filter(ks, lambda w: starts_with(w, x.key) AND length(w) > length(x.key)
+      AND NOT list_contains(acc.used, w))) = 1
+    THEN list_filter(ks, lambda w: starts_with(w, x.key) AND length(w) > length(x.key) AND NOT list_contains(acc.used, w))[1] END"""
+
+
+@query(f"""WITH {ERRORS}, {LINES},
+  u AS (SELECT doc_id, unit_ix, words, list_transform(words, lambda w: lower(w)) AS lows, list_distinct(list_transform(words, lambda w: lower(w))) AS ks
+    FROM (SELECT doc_id, unit_ix, list_reverse(regexp_extract_all(text, '[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+')) AS words FROM ln)),
+  e AS (SELECT doc_id, list({{'used': []::VARCHAR[], 'picked': []::VARCHAR[], 'key': key}} ORDER BY first_pos) AS es FROM err GROUP BY 1),
+  f AS (SELECT doc_id, unit_ix, list_reduce(list_filter(es, lambda x: len(list_filter(ks, lambda w: starts_with(w, x.key))) > 0), lambda acc, x: (
+    {{'used': CASE WHEN {TAKEN} IS NULL THEN acc.used ELSE list_append(acc.used, {TAKEN}) END,
+      'picked': CASE WHEN {TAKEN} IS NULL THEN acc.picked ELSE list_append(acc.picked, words[list_position(lows, {TAKEN})]) END, 'key': x.key}}), {{'used': []::VARCHAR[], 'picked': []::VARCHAR[], 'key': ''}}) AS r FROM u JOIN e USING (doc_id))
+  SELECT doc_id, unit_ix, array_to_string(r.picked, ',') AS highlight FROM f WHERE len(r.picked) > 0""")
 def unit_highlight_words(spark, sf):
     found = M.unit_highlight_words(lines(spark, sf).drop("lang"), errors(spark, sf))
     return found.select("doc_id", "unit_ix", F.array_join("highlight", ",").alias("highlight"))
