@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from orthoflow.llm import line_dedup, mixing, near_dedup, pieces, quality  # noqa: E402
-from orthoflow.llm.common import fresh  # noqa: E402
+from orthoflow.llm.common import bound_batches, fresh  # noqa: E402
 from orthoflow.llm.training import held_out  # noqa: E402
 from orthoflow.session import cut  # noqa: E402
 
@@ -20,6 +20,7 @@ from orthoflow.session import cut  # noqa: E402
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.3; the model is fitted on rows of ``labels`` that are
     not held out.  A null or empty text has the usual score and stays."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit_quality(docs, labels, ~held_out("doc_id", 5, 0))
     return quality.keep_good(docs, model)
@@ -39,6 +40,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the smallest id."""
+    bound_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -50,12 +52,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, their number, and whether decoding gives the text back."""
-    encoded = pieces.encode_documents(docs.select("doc_id", "source", "text"))
-    again = pieces.decode(encoded)
-    return encoded.select(
-        "doc_id", "source", "token_ids", F.size("token_ids").alias("n_tokens"),
-        (again == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    bound_batches(spark)
+    encoded = pieces.encode_documents(docs.select("doc_id", "source", "text"), round_trip_col="round_trip")
+    return encoded.select("doc_id", "source", "token_ids", F.size("token_ids").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FREQUENT_KEYS = 256
 TRACKED_KEYS = 2048
 SKETCH_GROUPS = 64
 BROADCAST_BYTES = 32 << 20
+BATCH_ROWS = 1_000
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:
@@ -58,6 +59,15 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left"
     return heavy.unionByName(light).drop(h)
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let Arrow batches have ``rows`` rows at most, in this session.
+
+    A batch is held by the JVM and by Python, and whole documents are long rows: Spark's default of
+    10,000 of them takes hundreds of MB in each task.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def fits_broadcast(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a table of known length and row width may be sent to every executor."""
     return rows * row_bytes <= limit

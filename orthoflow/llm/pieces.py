@@ -12,10 +12,12 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orthoflow.llm.common import fresh
+
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHED_WORDS = 500_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 300_000
+CACHED_PAIRS = 300_000
 # A marked word: blanks and what follows them, up to the next blank or line feed.
 MARKED_WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -169,7 +171,7 @@ def share_model(spark: SparkSession, model_file: str) -> str:
     return model_file.rsplit("/", 1)[-1]
 
 
-def text_blocks(texts: list[str], chars: int = 1 << 22) -> Iterator[list[str]]:
+def text_blocks(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
     """Texts in blocks of about ``chars`` characters, whose words are encoded together."""
     block, size = [], 0
     for t in texts:
@@ -210,14 +212,35 @@ def decode(docs: DataFrame, model_file: str = MODEL_FILE, ids_col: str = "token_
 
 
 def encode_documents(
-    docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text", ids_col: str = "token_ids"
+    docs: DataFrame,
+    model_file: str = MODEL_FILE,
+    text_col: str = "text",
+    ids_col: str = "token_ids",
+    round_trip_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with the ids of every whole text in ``ids_col``; nothing is shuffled.
 
     The ids are those of the sentencepiece library for this model; :func:`decode` gives the text back,
-    but for the sign U+2581, which stands for a blank.  Null and empty texts have no ids.  Words are
-    cached in bounded tables, so memory does not grow with the vocabulary of the corpus.  Repeated rows
-    are encoded alike; other columns are kept, and a column called ``ids_col`` is replaced.  An empty table
-    gives an empty result.
+    but for the sign U+2581, which stands for a blank.  With ``round_trip_col`` each text is decoded
+    again in the same task, and the column says whether it came back as it was.
+
+    Null and empty texts have no ids.  Words are cached in bounded tables, so memory does not grow with
+    the vocabulary of the corpus.  Repeated rows are encoded alike; other columns are kept, and columns
+    called ``ids_col`` or ``round_trip_col`` are replaced.  An empty table gives an empty result.
     """
-    return docs.withColumn(ids_col, encode(docs, model_file, text_col))
+    if round_trip_col is None:
+        return docs.withColumn(ids_col, encode(docs, model_file, text_col))
+    name = share_model(docs.sparkSession, model_file)
+
+    @F.pandas_udf("ids array<int>, same boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary.load(SparkFiles.get(name))
+        encoder, of = SharedPrefixEncoder(vocabulary), decoder(vocabulary)
+        for batch in batches:
+            texts = batch.fillna("").tolist()
+            ids = list(chain.from_iterable(map(encoder.encode_texts, text_blocks(texts))))
+            yield pd.DataFrame({"ids": ids, "same": [of(i.tolist()) == t for i, t in zip(ids, texts)]})
+
+    (pair,) = fresh(docs.columns, "encoded")
+    done = docs.withColumn(pair, both(F.col(text_col)))
+    return done.withColumns({ids_col: F.col(f"{pair}.ids"), round_trip_col: F.col(f"{pair}.same")}).drop(pair)

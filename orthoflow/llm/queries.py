@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoflow.llm import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, pieces, pseudonyms, quality, toxicity, url_filter
+from orthoflow.llm.common import bound_batches
 from orthoflow.llm.training import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,7 @@ def op1_exact_dedup(spark, sf_dir):
 
 @query()
 def op4_toxicity(spark, sf_dir):
+    bound_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = held_out("doc_id", 3, 1)
     model = toxicity.fit_toxicity(docs, labels, ~out)
@@ -54,6 +56,7 @@ def op4_toxicity(spark, sf_dir):
 
 @query()
 def op5_quality(spark, sf_dir):
+    bound_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = held_out("doc_id", 5, 0)
     model = quality.fit_quality(docs, labels, ~out)
@@ -230,6 +233,22 @@ def op10_line_dedup(spark, sf_dir):
 
 @query()
 def op2_near_dedup(spark, sf_dir):
+    bound_batches(spark)
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
+@query()
+def op7_sentencepiece(spark, sf_dir):
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode_documents(docs, round_trip_col="round_trip")
+    return encoded.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), "round_trip")
+
+
+@query()
+def op2_near_dedup(spark, sf_dir):
+    bound_batches(spark)
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", "kept")
 
