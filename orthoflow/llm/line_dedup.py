@@ -15,13 +15,14 @@ MIN_TEMPLATE_WORDS = 10
 MIN_CONSTANT = 0.6
 BELOW_ANY_ID = -(2**63)
 VARIABLE = "<*>"
-WHITE = "[ \t\r\f]+"
+BLANKS = " \t\r\f"
 
 
 def masked_words(line: Column) -> Column:
     """Words of a line; those with a digit are a variable field."""
-    words = F.filter(F.split(line, WHITE), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), VARIABLE).otherwise(w))
+    words = F.split(F.btrim(line, F.lit(BLANKS)), f"[{BLANKS}]+")
+    masked = F.transform(words, lambda w: F.when(w.rlike("[0-9]"), VARIABLE).otherwise(w))
+    return F.when(line.rlike("[0-9]"), masked).otherwise(words)
 
 
 def tree_paths(docs: DataFrame) -> DataFrame:
@@ -31,9 +32,12 @@ def tree_paths(docs: DataFrame) -> DataFrame:
     ``SEGMENTS`` parts of words, each hashed to ``s0``.. with its number of words in ``c0``..; a segment
     that differs among the lines of a node is a variable field of its template.  The last level has all
     words, so its template is the masked line itself.
+
+    Arrays are unnested by the outer variants, and short lines leave after that: inner ones and earlier
+    filters would make Spark evaluate the arrays once more.
     """
-    lines = docs.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    words = lines.select("id", "mark", "pos", masked_words(F.col("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
+    lines = docs.select("id", "mark", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
+    words = lines.select("id", "mark", "pos", masked_words(F.col("line")).alias("w"))
     n = F.size("w")
 
     def node(depth: int | None) -> Column:
@@ -51,9 +55,9 @@ def tree_paths(docs: DataFrame) -> DataFrame:
         return F.struct(*fields)
 
     long_enough = F.array(*[node(d) for d in DEPTHS], node(None))
-    nodes = F.when(n >= MIN_TEMPLATE_WORDS, long_enough).otherwise(F.array(node(None)))
-    exploded = words.select("id", "mark", "pos", n.alias("n"), F.explode(nodes).alias("node"))
-    return exploded.select("id", "mark", "pos", "n", "node.*")
+    nodes = F.when(n >= MIN_TEMPLATE_WORDS, long_enough).when(n >= MIN_WORDS, F.array(node(None)))
+    exploded = words.select("id", "mark", "pos", n.alias("n"), F.explode_outer(nodes).alias("node"))
+    return exploded.where("node is not null").select("id", "mark", "pos", "n", "node.*")
 
 
 def recurring_templates(paths: DataFrame) -> DataFrame:
