@@ -9,12 +9,14 @@ from orthoflow.session import cut
 
 EQUAL_LANES = 8
 LIKE_WORDS = 32
+RUN_WORDS = 3
 LANE_BITS = 16
 LANES_A_WORD = 3
 WORD_BITS = LANE_BITS * LANES_A_WORD
 WORD_MASK = (1 << WORD_BITS) - 1
 LOW_BITS = sum(1 << (LANE_BITS * i) for i in range(LANES_A_WORD))
 HEX_DIGITS = WORD_BITS // 4
+BELOW_ANY_ID = -(2**63)
 FIELDS = EQUAL_LANES + LIKE_WORDS + 1
 
 
@@ -26,6 +28,18 @@ def _zero(n: int) -> Column:
     return F.struct(*[F.lit(0).cast("long").alias(f"f{i}") for i in range(n)])
 
 
+def _run_hashes(paragraph: Column) -> Column:
+    """Hashes of a paragraph's words, ``RUN_WORDS`` at a time from its beginning."""
+    hashes = F.transform(
+        F.array(F.split(paragraph, " ", -1)),
+        lambda words: F.transform(
+            F.sequence(F.lit(0), F.size(words) - 1, F.lit(RUN_WORDS)),
+            lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(RUN_WORDS)]),
+        ),
+    )
+    return hashes[0]
+
+
 def paragraph_vector(text: Column | str) -> Column:
     """The fingerprint of ``text`` as an array of 48-bit numbers.
 
@@ -34,9 +48,9 @@ def paragraph_vector(text: Column | str) -> Column:
 
     * ``EQUAL_LANES`` numbers, each a 48-bit hash of the paragraph, summed modulo 2**48: equal
       multisets of paragraphs have equal sums, and others differ but for a chance of about 2**-384;
-    * ``LIKE_WORDS`` numbers of three counters modulo 2**16 each: one hash bit of each pair of
-      neighbouring words of the paragraph (a wide sum of signs, read by :func:`likeness`);
-    * the number of pairs modulo 2**48.
+    * ``LIKE_WORDS`` numbers of three counters modulo 2**16 each: one hash bit of each run of
+      three words of the paragraph (a wide sum of signs, read by :func:`likeness`);
+    * the number of runs modulo 2**48.
     """
     paragraphs = F.split(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), "\n", -1)
     digests = F.transform(paragraphs, lambda p: F.sha2(p, 256))
@@ -52,18 +66,10 @@ def paragraph_vector(text: Column | str) -> Column:
             ]
         ),
     )
-    pairs = F.flatten(
-        F.transform(
-            paragraphs,
-            lambda p: F.transform(
-                F.array(F.split(p, " ", -1)),
-                lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1))),
-            )[0],
-        )
-    )
+    runs = F.flatten(F.transform(paragraphs, _run_hashes))
     half = LIKE_WORDS // 2
     like = F.aggregate(
-        F.transform(pairs, lambda h: F.struct(h.alias("a"), F.xxhash64(h).alias("b"))),
+        F.transform(runs, lambda h: F.struct(h.alias("a"), F.xxhash64(h).alias("b"))),
         _zero(LIKE_WORDS),
         lambda acc, h: F.struct(
             *[
@@ -82,7 +88,7 @@ def paragraph_vector(text: Column | str) -> Column:
         F.array(
             F.transform(F.array(equal), lambda e: F.array(*[_field(e, i) for i in range(EQUAL_LANES)]))[0],
             F.transform(F.array(like), lambda e: F.array(*[_field(e, i) for i in range(LIKE_WORDS)]))[0],
-            F.array(F.size(pairs).cast("long")),
+            F.array(F.size(runs).cast("long")),
         )
     )
 
@@ -103,7 +109,7 @@ def fingerprint_text(vector: Column | str) -> Column:
 
 
 def signs(vector: Column | str) -> Column:
-    """Signed sums of the likeness lanes: twice the count less the number of pairs, centred modulo 2**16."""
+    """Signed sums of the likeness lanes: twice the count less the number of runs, centred modulo 2**16."""
     col = F.col(vector) if isinstance(vector, str) else vector
     n, top = F.element_at(col, FIELDS), 1 << LANE_BITS
     lanes = F.flatten(
@@ -118,7 +124,7 @@ def signs(vector: Column | str) -> Column:
 
 
 def likeness(a: Column | str, b: Column | str, a_signs: Column | str, b_signs: Column | str) -> Column:
-    """Estimated cosine of the word pairs of two texts, from their fingerprints alone: 1 for equal
+    """Estimated cosine of the word runs of two texts, from their fingerprints alone: 1 for equal
     fingerprints, 0 where one of them has no signs or the estimate is below 0."""
 
     def dot(x, y):
@@ -130,28 +136,21 @@ def likeness(a: Column | str, b: Column | str, a_signs: Column | str, b_signs: C
     return F.when(same, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
 
 
-def next_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id`` and ``next_id``: each distinct id and the next larger one, the smallest after the last.
+def next_ids(ids: DataFrame) -> DataFrame:
+    """``id`` and ``next_id``: each distinct id and the next larger one, the smallest after the last.
 
     Only ids are moved.  They are stored in ranges, and the window runs within each range; the first
-    id of the following range (one row per range) completes the last row of a range.  A null id comes
-    before all others.
+    id of the following range (one row per range) completes the last row of a range.
     """
-    ranged = docs.select(F.col(id_col).alias("doc_id")).distinct().repartitionByRange(F.col("doc_id").asc_nulls_first())
-    stored = cut(ranged.select("doc_id", F.spark_partition_id().alias("part")), "ids")
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first())
-    linked = stored.withColumns({"at": F.row_number().over(inside), "inner": F.lead("doc_id").over(inside)})
-    linked = linked.withColumn("last", F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last())) == 1)
-    firsts = stored.groupBy("part").agg(F.min(F.struct(F.col("doc_id"))).alias("first"))
+    ranged = ids.select("id").distinct().repartitionByRange("id")
+    stored = cut(ranged.select("id", F.spark_partition_id().alias("part")), "ids")
+    inside = Window.partitionBy("part").orderBy("id")
+    firsts = stored.groupBy("part").agg(F.min("id").alias("first"))
     order = Window.orderBy("part")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = firsts.select(
-        "part",
-        F.coalesce(F.lead("first").over(order), F.first("first").over(everything)).getField("doc_id").alias("outer"),
-    )
-    return linked.join(after, "part").select(
-        "doc_id", F.when(F.col("last"), F.col("outer")).otherwise(F.col("inner")).alias("next_id")
-    )
+    after = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(everything)).alias("outer"))
+    linked = stored.withColumn("inner", F.lead("id").over(inside)).join(after, "part")
+    return linked.select("id", F.coalesce("inner", "outer").alias("next_id"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,32 +175,29 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and the kept first halves through a second one to the next document, which meets them there.
 
     Null text counts as empty.  Rows that share an id are each reported; all have the same next id, and
-    of rows that share the next id the smallest text is taken.  A null id comes first.  With one id only
-    the next document is the document itself.  Other columns are not read.  An empty table gives none.
+    of rows that share the next id the smallest text is taken.  A null id comes first, as the smallest
+    number.  With one id only the next document is the document itself.  Other columns are not read.
+    An empty table gives an empty result.
     """
     by_id = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).repartition("doc_id")
-    links = cut(next_ids(docs, id_col), "links")
-    n = F.length("text").cast("long")
+        F.coalesce(F.col(id_col), F.lit(BELOW_ANY_ID)).alias("id"),
+        F.col(id_col).alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    ).repartition("id")
+    links = cut(next_ids(docs.select(F.coalesce(F.col(id_col), F.lit(BELOW_ANY_ID)).alias("id"))), "links")
     own = (
-        by_id.alias("d")
-        .join(links.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")))
-        .select("d.doc_id", "l.next_id", "d.text", n.alias("n_chars"))
-        .withColumn("vector", paragraph_vector("text"))
+        by_id.join(links, "id")
+        .withColumn("n_chars", F.length("text").cast("long"))
         .select(
-            "doc_id", "next_id", "n_chars", "vector",
-            F.expr("substr(text, 1, n_chars - floor(n_chars / 2))").alias("first_half"),
+            "doc_id", F.col("next_id").alias("id"), "n_chars", paragraph_vector("text").alias("vector"),
+            F.expr("substr(text, 1, cast(n_chars - floor(n_chars / 2) as int))").alias("first_half"),
         )
     )
-    following = by_id.groupBy("doc_id").agg(F.min("text").alias("text"))
-    both = (
-        own.alias("o")
-        .join(following.alias("f"), F.col("o.next_id").eqNullSafe(F.col("f.doc_id")))
-        .select(
-            "o.doc_id", "o.n_chars", "o.vector", "f.text",
-            F.concat("o.first_half", F.expr("substr(f.text, 1, cast(floor(o.n_chars / 2) as int))")).alias("edited"),
-        )
+    # with doc_id too, so that both sides read one and the same exchange
+    following = by_id.groupBy("id").agg(F.min("text").alias("text"), F.min("doc_id").alias("of")).drop("of")
+    both = own.join(following, "id").select(
+        "doc_id", "n_chars", "vector", "text",
+        F.concat("first_half", F.expr("substr(text, 1, cast(floor(n_chars / 2) as int))")).alias("edited"),
     )
     vectors = both.select(
         "doc_id", "n_chars", "vector",
