@@ -1,4 +1,4 @@
-"""Document fingerprints: a homomorphic multiset hash of paragraphs, with a likeness read from its lanes."""
+"""Document fingerprints: a homomorphic multiset hash of paragraphs, and a likeness read from sums over word pairs."""
 
 from __future__ import annotations
 
@@ -40,6 +40,54 @@ def _run_hashes(paragraph: Column) -> Column:
     return hashes[0]
 
 
+def _pair_hashes(paragraph: Column) -> Column:
+    """Hashes of each word of a paragraph together with the word after it."""
+    hashes = F.transform(
+        F.array(F.split(paragraph, " ", -1)),
+        lambda words: F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1))),
+    )
+    return hashes[0]
+
+
+def _like_sums(hashes: Column) -> Column:
+    """``LIKE_WORDS`` numbers of three counters each: the sums of the bits of ``hashes``."""
+    half = LIKE_WORDS // 2
+    like = F.aggregate(
+        F.transform(hashes, lambda h: F.struct(h.alias("a"), F.xxhash64(h).alias("b"))),
+        _zero(LIKE_WORDS),
+        lambda acc, h: F.struct(
+            *[
+                (
+                    _field(acc, i)
+                    + F.shiftright(h.getField("a" if i < half else "b"), i % half).bitwiseAND(F.lit(LOW_BITS))
+                ).alias(f"f{i}")
+                for i in range(LIKE_WORDS)
+            ]
+        ),
+        lambda acc: F.struct(
+            *[_field(acc, i).bitwiseAND(F.lit(WORD_MASK)).alias(f"f{i}") for i in range(LIKE_WORDS)]
+        ),
+    )
+    return F.transform(F.array(like), lambda e: F.array(*[_field(e, i) for i in range(LIKE_WORDS)]))[0]
+
+
+def _paragraphs(text: Column | str) -> Column:
+    return F.split(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), "\n", -1)
+
+
+def likeness_vector(text: Column | str) -> Column:
+    """``LIKE_WORDS`` numbers of bit sums over all pairs of neighbouring words, and the number of pairs.
+
+    A word put in or taken out changes the pairs it is in and no others, unlike the runs of
+    :func:`paragraph_vector`, which are counted from the beginning of the paragraph.  It is a sum over
+    the paragraphs too.
+    """
+    pairs = F.flatten(F.transform(_paragraphs(text), _pair_hashes))
+    return F.transform(
+        F.array(pairs), lambda hashes: F.concat(_like_sums(hashes), F.array(F.size(hashes).cast("long")))
+    )[0]
+
+
 def paragraph_vector(text: Column | str) -> Column:
     """The fingerprint of ``text`` as an array of 48-bit numbers.
 
@@ -49,10 +97,10 @@ def paragraph_vector(text: Column | str) -> Column:
     * ``EQUAL_LANES`` numbers, each a 48-bit hash of the paragraph, summed modulo 2**48: equal
       multisets of paragraphs have equal sums, and others differ but for a chance of about 2**-384;
     * ``LIKE_WORDS`` numbers of three counters modulo 2**16 each: one hash bit of each run of
-      three words of the paragraph (a wide sum of signs, read by :func:`likeness`);
+      three words of the paragraph, counted from its beginning;
     * the number of runs modulo 2**48.
     """
-    paragraphs = F.split(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), "\n", -1)
+    paragraphs = _paragraphs(text)
     digests = F.transform(paragraphs, lambda p: F.sha2(p, 256))
     equal = F.aggregate(
         digests,
@@ -67,27 +115,10 @@ def paragraph_vector(text: Column | str) -> Column:
         ),
     )
     runs = F.flatten(F.transform(paragraphs, _run_hashes))
-    half = LIKE_WORDS // 2
-    like = F.aggregate(
-        F.transform(runs, lambda h: F.struct(h.alias("a"), F.xxhash64(h).alias("b"))),
-        _zero(LIKE_WORDS),
-        lambda acc, h: F.struct(
-            *[
-                (
-                    _field(acc, i)
-                    + F.shiftright(h.getField("a" if i < half else "b"), i % half).bitwiseAND(F.lit(LOW_BITS))
-                ).alias(f"f{i}")
-                for i in range(LIKE_WORDS)
-            ]
-        ),
-        lambda acc: F.struct(
-            *[_field(acc, i).bitwiseAND(F.lit(WORD_MASK)).alias(f"f{i}") for i in range(LIKE_WORDS)]
-        ),
-    )
     return F.flatten(
         F.array(
             F.transform(F.array(equal), lambda e: F.array(*[_field(e, i) for i in range(EQUAL_LANES)]))[0],
-            F.transform(F.array(like), lambda e: F.array(*[_field(e, i) for i in range(LIKE_WORDS)]))[0],
+            _like_sums(runs),
             F.array(F.size(runs).cast("long")),
         )
     )
@@ -109,12 +140,12 @@ def fingerprint_text(vector: Column | str) -> Column:
 
 
 def signs(vector: Column | str) -> Column:
-    """Signed sums of the likeness lanes: twice the count less the number of runs, centred modulo 2**16."""
+    """Signed sums of the lanes of a likeness vector: twice the count less the number of pairs, centred modulo 2**16."""
     col = F.col(vector) if isinstance(vector, str) else vector
-    n, top = F.element_at(col, FIELDS), 1 << LANE_BITS
+    n, top = F.element_at(col, LIKE_WORDS + 1), 1 << LANE_BITS
     lanes = F.flatten(
         F.transform(
-            F.slice(col, EQUAL_LANES + 1, LIKE_WORDS),
+            F.slice(col, 1, LIKE_WORDS),
             lambda v: F.array(
                 *[F.shiftright(v, LANE_BITS * i).bitwiseAND(F.lit(top - 1)) for i in range(LANES_A_WORD)]
             ),
@@ -124,8 +155,8 @@ def signs(vector: Column | str) -> Column:
 
 
 def likeness(a: Column | str, b: Column | str, a_signs: Column | str, b_signs: Column | str) -> Column:
-    """Estimated cosine of the word runs of two texts, from their fingerprints alone: 1 for equal
-    fingerprints, 0 where one of them has no signs or the estimate is below 0."""
+    """Estimated cosine of the word pairs of two texts, from their likeness vectors alone: 1 for equal
+    vectors, 0 where one of them has no signs or the estimate is below 0."""
 
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0).cast("long"), lambda s, v: s + v)
@@ -172,7 +203,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Edited text: the last floor(n/2) code points are replaced by the first as many (or all) of the next
     document by id, and after the last id by those of the first.  Texts go through one shuffle by id,
-    and the kept first halves through a second one to the next document, which meets them there.
+    and the kept first halves through a second one to the next document, which meets them there.  The
+    likeness vector of a document is computed once, before the first shuffle, and moves with its text.
 
     Null text counts as empty.  Rows that share an id are each reported; all have the same next id, and
     of rows that share the next id the smallest text is taken.  A null id comes first, as the smallest
@@ -183,30 +215,32 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.col(id_col), F.lit(BELOW_ANY_ID)).alias("id"),
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        likeness_vector(text_col).alias("like"),
     ).repartition("id")
     links = cut(next_ids(docs.select(F.coalesce(F.col(id_col), F.lit(BELOW_ANY_ID)).alias("id"))), "links")
     own = (
         by_id.join(links, "id")
         .withColumn("n_chars", F.length("text").cast("long"))
         .select(
-            "doc_id", F.col("next_id").alias("id"), "n_chars", paragraph_vector("text").alias("vector"),
+            "doc_id", F.col("next_id").alias("id"), "n_chars", paragraph_vector("text").alias("vector"), "like",
             F.expr("substr(text, 1, cast(n_chars - floor(n_chars / 2) as int))").alias("first_half"),
         )
     )
-    # with doc_id too, so that both sides read one and the same exchange
-    following = by_id.groupBy("id").agg(F.min("text").alias("text"), F.min("doc_id").alias("of")).drop("of")
+    # a struct with doc_id too, which is not pruned, so that both sides read one and the same exchange
+    least = by_id.groupBy("id").agg(F.min(F.struct("text", "doc_id", "like")).alias("least"))
+    following = least.select("id", F.col("least.text").alias("text"), F.col("least.like").alias("next_like"))
     both = own.join(following, "id").select(
-        "doc_id", "n_chars", "vector", "text",
+        "doc_id", "n_chars", "vector", "like", "next_like",
         F.concat("first_half", F.expr("substr(text, 1, cast(floor(n_chars / 2) as int))")).alias("edited"),
     )
     vectors = both.select(
-        "doc_id", "n_chars", "vector",
+        "doc_id", "n_chars", "vector", "like", "next_like",
         F.sha2("edited", 256).alias("edited_sha256"),
         paragraph_vector("edited").alias("edited_vector"),
-        paragraph_vector("text").alias("next_vector"),
+        likeness_vector("edited").alias("edited_like"),
     )
     signed = vectors.select(
-        "*", *[signs(v).alias(f"{v}_signs") for v in ("vector", "edited_vector", "next_vector")]
+        "*", *[signs(v).alias(f"{v}_signs") for v in ("like", "edited_like", "next_like")]
     )
     return signed.select(
         "doc_id",
@@ -214,6 +248,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "edited_sha256",
         fingerprint_text("vector").alias("fingerprint"),
         fingerprint_text("edited_vector").alias("edited_fingerprint"),
-        likeness("vector", "edited_vector", "vector_signs", "edited_vector_signs").alias("near_edited"),
-        likeness("vector", "next_vector", "vector_signs", "next_vector_signs").alias("near_next"),
+        likeness("like", "edited_like", "like_signs", "edited_like_signs").alias("near_edited"),
+        likeness("like", "next_like", "like_signs", "next_like_signs").alias("near_next"),
     )
