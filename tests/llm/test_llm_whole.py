@@ -1,7 +1,9 @@
 """Operators on cases where a part of the work would go unseen: edits that shift, families, many templates."""
 
 
-from orthoflow.llm import fingerprint
+import random
+
+from orthoflow.llm import fingerprint, near_dedup
 
 
 def test_one_word_put_in_keeps_the_likeness(spark):
@@ -17,3 +19,23 @@ def test_next_document_one_word_longer_is_near(spark):
     text = " ".join(f"w{i * 7919 % 1000}" for i in range(240))
     df = spark.createDataFrame([(1, text), (2, f"new {text}")], "doc_id long, text string")
     assert all(r.near_next > 0.9 for r in fingerprint.edited_fingerprints(df).collect())
+
+
+def test_pairs_inside_a_family(spark):
+    rng = random.Random(5)
+
+    def fill(n):
+        return [f"x{rng.randrange(10**12)}" for _ in range(n)]
+
+    common, texts = fill(430), []
+    for _ in range(60):
+        mine = fill(33)
+        texts += [" ".join(common + mine + fill(38)) for _ in range(2)]
+    flat = near_dedup.idf_table(near_dedup.np.zeros(1 << near_dedup.FEATURE_BITS), 120)
+    assert 0.84 < near_dedup.similarity(texts[0], texts[1], flat) < 0.87 and 0.73 < near_dedup.similarity(texts[0], texts[2], flat) < 0.77
+    order = list(range(120))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    lost = sum(got[order[i]] != got[order[i + 1]] for i in range(0, 120, 2))
+    assert lost == 0 and len(set(got.values())) == 60, lost
