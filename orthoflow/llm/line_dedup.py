@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from orthoflow.session import cut
 
 DEPTHS = (4, 8)
 SEGMENTS = 4
+PARTS, LEFT_OUT = 8, 3
 MIN_WORDS = 5
 MIN_TEMPLATE_WORDS = 10
 MIN_CONSTANT = 0.6
@@ -25,13 +28,14 @@ def masked_words(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), masked).otherwise(words)
 
 
-def tree_paths(docs: DataFrame) -> DataFrame:
+def tree_paths(docs: DataFrame, passages: bool = False) -> DataFrame:
     """The nodes of the tree that each line of ``docs`` (``id``, ``mark``, ``text``) passes.
 
     A node is a number of words and the first ``depth`` words.  Below it the rest of the line is cut in
     ``SEGMENTS`` parts of words, each hashed to ``s0``.. with its number of words in ``c0``..; a segment
     that differs among the lines of a node is a variable field of its template.  The last level has all
-    words, so its template is the masked line itself.
+    words, so its template is the masked line itself.  With ``passages`` the first level has this last key
+    too, as ``line``, and the hashes of the ``PARTS`` parts of the rest of the line, as ``parts``.
 
     Arrays are unnested by the outer variants, and short lines leave after that: inner ones and earlier
     filters would make Spark evaluate the arrays once more.
@@ -52,6 +56,12 @@ def tree_paths(docs: DataFrame) -> DataFrame:
             end = F.floor((n - depth) * (j + 1) / SEGMENTS).cast("int")
             part = F.slice("w", begin + depth + 1, end - begin)
             fields += [F.hash(part).alias(f"s{j}"), (end - begin).alias(f"c{j}")]
+        if passages:
+            first = depth == DEPTHS[0]
+            cuts = [F.floor((n - DEPTHS[0]) * j / PARTS).cast("int") for j in range(PARTS + 1)]
+            parts = F.array(*[F.hash(F.slice("w", b + DEPTHS[0] + 1, e - b)) for b, e in zip(cuts, cuts[1:])])
+            fields.append((F.xxhash64(F.lit(len(DEPTHS)), n, F.col("w")) if first else F.lit(None).cast("long")).alias("line"))
+            fields.append((parts if first else F.lit(None).cast("array<int>")).alias("parts"))
         return F.struct(*fields)
 
     long_enough = F.array(*[node(d) for d in DEPTHS], node(None))
@@ -75,11 +85,36 @@ def recurring_templates(paths: DataFrame) -> DataFrame:
     return nodes.where(F.col("n") - variable >= MIN_CONSTANT * F.col("n")).select("level", "key", "first")
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recurring_passages(paths: DataFrame) -> DataFrame:
+    """``key``, ``level`` (the last) and ``first`` document of masked lines that others nearly equal.
+
+    Lines of a first-level node are near if they differ in ``LEFT_OUT`` of their ``PARTS`` parts at most, so in
+    any ``LEFT_OUT`` words after the leading ones, and always at least ``MIN_CONSTANT`` of the words are
+    equal.  Each distinct line has one key for every choice of parts left out, and ``first`` is the smallest id
+    of all lines that share a key with it.  Any number of templates can be in a node; only nodes with
+    different lines from different documents are looked at, and all figures are minima.
+    """
+    top = paths.where("level = 0").select("id", "key", "line", "parts")
+    nodes = top.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in ("id", "line") for n, f in (("low", F.min), ("high", F.max))])
+    nodes = cut(nodes.where("low_id < high_id and low_line <> high_line").select("key"), "nodes")
+    lines = lookup(top, nodes, ["key"], "inner").groupBy("line").agg(
+        F.min("id").alias("own"), F.min("key").alias("node"), F.min("parts").alias("parts")
+    )
+    kept = list(combinations(range(PARTS), PARTS - LEFT_OUT))
+    keys = F.array(*[F.xxhash64("node", F.lit(k), *[F.get("parts", F.lit(j)) for j in js]) for k, js in enumerate(kept)])
+    keyed = cut(lines.select("line", "own", F.explode(keys).alias("passage")), "passages")
+    shared = keyed.groupBy("passage").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = cut(shared.where("n > 1").drop("n"), "shared")
+    met = lookup(keyed.select("line", "passage"), shared, ["passage"], "inner")
+    return met.groupBy("line").agg(F.min("first").alias("first")).select(
+        F.lit(len(DEPTHS)).alias("level"), F.col("line").alias("key"), "first"
+    )
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = True) -> DataFrame:
     """``id``, ``mark`` and the sorted positions ``dropped`` of the lines to drop, for documents with any.
 
-    A line is judged by the shallowest node on its path that recurs; it stays in the document with the
-    smallest id of that node, and goes in all others.  ``mark`` is a hash of the text: rows that share an
+    A line goes if a node on its path, or with ``passages`` a near line, recurs with a smaller id.  ``mark`` is a hash of the text: rows that share an
     id are one document for counting, but each text has its own positions.
     """
     keyed = docs.select(
@@ -87,15 +122,19 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    paths = cut(tree_paths(keyed), "paths")
-    recurring = cut(recurring_templates(paths), "templates")
+    paths = cut(tree_paths(keyed, passages), "paths")
+    recurring = recurring_templates(paths)
+    if passages:
+        recurring = recurring.union(recurring_passages(paths)).groupBy("level", "key").agg(F.min("first").alias("first"))
+    recurring = cut(recurring, "templates")
     met = lookup(paths.select("id", "mark", "pos", "level", "key"), recurring, ["level", "key"], "inner")
-    verdict = F.min(F.col("level") * 2 + F.when(F.col("first") < F.col("id"), 1).otherwise(0))
-    judged = met.repartition("id", "mark").groupBy("id", "mark", "pos").agg(verdict.alias("v")).where("v % 2 = 1")
+    judged = met.repartition("id", "mark").groupBy("id", "mark", "pos").agg(F.max(F.expr("first < id")).alias("v")).where("v")
     return judged.groupBy("id", "mark").agg(F.sort_array(F.collect_list("pos")).alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines") -> DataFrame:
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str = "dropped_lines", passages: bool = True
+) -> DataFrame:
     """``docs`` with recurring lines taken out of the text, and their positions in ``dropped_col``.
 
     Lines are parsed by a tree of fixed depth: number of words, then the leading words, words with a
@@ -103,7 +142,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whose differing parts are variable fields.  A template that occurs in two documents or more recurs: its
     lines stay in the document with the smallest id and are dropped in all others, so that each text is
     kept once.  Lines of fewer than ``MIN_WORDS`` words stay, and lines of fewer than
-    ``MIN_TEMPLATE_WORDS`` words recur only as they are.
+    ``MIN_TEMPLATE_WORDS`` words recur only as they are.  Such a node has one template; with ``passages`` lines
+    of a node are also compared with each other (:func:`recurring_passages`).
 
     Null and empty texts have no lines to drop and stay null or empty; a text that loses all lines becomes
     empty.  A null id is smaller than every other; rows that share an id count as one document, so
@@ -111,7 +151,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     called ``dropped_col`` is replaced.  An empty table gives an empty result.
     """
     own_id, mark, positions = fresh(docs.columns, "id", "mark", "dropped")
-    verdicts = dropped_lines(docs, id_col, text_col).toDF(own_id, mark, positions)
+    verdicts = dropped_lines(docs, id_col, text_col, passages).toDF(own_id, mark, positions)
     keyed = docs.withColumns(
         {
             own_id: F.coalesce(F.col(id_col), F.lit(BELOW_ANY_ID)),

@@ -221,7 +221,8 @@ def op9_mixing(spark, sf_dir):
 )
 def op10_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n"))
-    done = line_dedup.line_dedup(docs, dropped_col="lines")
+    # one template a node, as the SQL has it; the pipeline compares the lines of a node with each other too
+    done = line_dedup.line_dedup(docs, dropped_col="lines", passages=False)
     return done.select(
         "doc_id",
         F.col("n").cast("long").alias("n_lines"),

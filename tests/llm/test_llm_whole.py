@@ -3,7 +3,7 @@
 
 import random
 
-from orthoflow.llm import fingerprint, near_dedup
+from orthoflow.llm import fingerprint, line_dedup, near_dedup
 
 
 def test_one_word_put_in_keeps_the_likeness(spark):
@@ -39,3 +39,19 @@ def test_pairs_inside_a_family(spark):
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
     lost = sum(got[order[i]] != got[order[i + 1]] for i in range(0, 120, 2))
     assert lost == 0 and len(set(got.values())) == 60, lost
+
+
+def test_edited_copies_of_a_line(spark):
+    rng, docs = random.Random(7), []
+    base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)]
+
+    def edited(line, places):
+        return " ".join("new" + "".join(rng.choices("abcdefgh", k=8)) if i in places else w for i, w in enumerate(line))
+
+    docs.append(" ".join(base))
+    docs += [edited(base, [8 + rng.randrange(52)]) for _ in range(20)]
+    docs += [edited(base, places) for places in ([10, 40], [20, 58], [9, 30, 50], [15, 35, 55])]
+    stranger = base[:4] + ["other" + "".join(rng.choices("abcdefgh", k=8)) for _ in range(56)]
+    df = spark.createDataFrame(list(enumerate([*docs, " ".join(stranger)])), "doc_id long, text string")
+    got = {r.doc_id: r.dropped_lines for r in line_dedup.line_dedup(df).collect()}
+    assert got == {0: [], **{i: [0] for i in range(1, len(docs))}, len(docs): []}
