@@ -1,6 +1,5 @@
 """Operators on cases where a part of the work would go unseen: edits that shift, families, many templates."""
 
-
 import random
 
 from orthoflow.llm import fingerprint, line_dedup, near_dedup
@@ -55,3 +54,11 @@ def test_edited_copies_of_a_line(spark):
     df = spark.createDataFrame(list(enumerate([*docs, " ".join(stranger)])), "doc_id long, text string")
     got = {r.doc_id: r.dropped_lines for r in line_dedup.line_dedup(df).collect()}
     assert got == {0: [], **{i: [0] for i in range(1, len(docs))}, len(docs): []}
+
+
+def test_long_lines_with_two_or_three_changed_words(spark):
+    base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(60)]
+    for places in ([10, 40], [20, 58], [9, 30, 50], [15, 35, 55]):
+        copy = " ".join("changed" if i in places else w for i, w in enumerate(base))
+        df = spark.createDataFrame([(1, " ".join(base)), (2, copy)], "doc_id long, text string")
+        assert {r.doc_id: r.dropped_lines for r in line_dedup.line_dedup(df).collect()} == {1: [], 2: [0]}
