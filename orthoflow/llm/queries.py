@@ -16,9 +16,11 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register the decorated function under its name."""
+    """Register the decorated function under its name, which must be free."""
 
     def add(fn):
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"there is a query {fn.__name__} already")
         QUERIES[fn.__name__] = fn
         if sql is not None:
             SQL[fn.__name__] = sql
@@ -245,21 +247,3 @@ def op7_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = pieces.encode_documents(docs, round_trip_col="round_trip")
     return encoded.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), "round_trip")
-
-
-@query()
-def op2_near_dedup(spark, sf_dir):
-    bound_batches(spark)
-    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_size", "kept")
-
-
-@query()
-def op7_sentencepiece(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = pieces.encode_documents(docs)
-    again = pieces.decode(encoded)
-    return encoded.select(
-        "doc_id", "token_ids", F.size("token_ids").alias("n_tokens"),
-        (again == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )

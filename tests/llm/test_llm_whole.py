@@ -2,7 +2,11 @@
 
 import random
 
-from orthoflow.llm import fingerprint, line_dedup, near_dedup
+import pytest
+
+import pytest
+
+from orthoflow.llm import fingerprint, line_dedup, near_dedup, queries
 
 
 def test_one_word_put_in_keeps_the_likeness(spark):
@@ -62,3 +66,15 @@ def test_long_lines_with_two_or_three_changed_words(spark):
         copy = " ".join("changed" if i in places else w for i, w in enumerate(base))
         df = spark.createDataFrame([(1, " ".join(base)), (2, copy)], "doc_id long, text string")
         assert {r.doc_id: r.dropped_lines for r in line_dedup.line_dedup(df).collect()} == {1: [], 2: [0]}
+
+
+def test_a_query_name_is_taken_once(spark):
+    def op7_sentencepiece(spark, sf_dir):
+        return None
+
+    with pytest.raises(ValueError):
+        queries.query()(op7_sentencepiece)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(Exception, match="no-such-folder"):
+        queries.QUERIES["op7_sentencepiece"](spark, "/tmp/no-such-folder")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
