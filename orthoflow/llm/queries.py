@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoflow.llm import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, pieces, pseudonyms, quality, toxicity, url_filter
+from orthoflow.llm import (
+    exact_dedup,
+    fingerprint,
+    hidden_markov,
+    line_dedup,
+    mixing,
+    near_dedup,
+    pieces,
+    pseudonyms,
+    quality,
+    toxicity,
+    url_filter,
+)
 from orthoflow.llm.common import bound_batches
 from orthoflow.llm.training import held_out
 
@@ -247,3 +259,19 @@ def op7_sentencepiece(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = pieces.encode_documents(docs, round_trip_col="round_trip")
     return encoded.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"), "round_trip")
+
+
+@query()
+def op13_language_model(spark, sf_dir):
+    bound_batches(spark)
+    out = held_out("doc_id", 7, 2)
+    scores, vocabulary, _ = hidden_markov.language_model_scores(table(spark, sf_dir, "documents"), ~out)
+    return scores.select(
+        "doc_id",
+        (~F.col("usable")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
