@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoflow.llm import (
+    conversation_repair,
     exact_dedup,
     fingerprint,
     hidden_markov,
@@ -15,6 +16,7 @@ from orthoflow.llm import (
     mixing,
     near_dedup,
     pieces,
+    prefix_trie,
     pseudonyms,
     quality,
     toxicity,
@@ -22,6 +24,7 @@ from orthoflow.llm import (
 )
 from orthoflow.llm.common import bound_batches
 from orthoflow.llm.training import held_out
+from orthoflow.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -275,3 +278,147 @@ def op13_language_model(spark, sf_dir):
         "base_score",
         "score",
     )
+
+
+# crc32 of a decimal text, for SQL: the table of the remainders of all bytes, and one step per character.
+CRC_TABLE = """
+    crc_table AS (
+      SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i] || range(8),
+          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII text, where ``t`` of ``crc_table`` is in scope."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce([4294967295] || {codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query(
+    rf"""
+    WITH {CRC_TABLE},
+    ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+    turns AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id
+          ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS k FROM conversations),
+    heads AS (
+      SELECT conv_id, conv_id - conv_id % 20 AS base, {crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM ids, crc_table),
+    rebuilt AS (
+      SELECT heads.conv_id, 0 AS part, k, role, text FROM heads JOIN turns ON turns.conv_id = base AND k <= h
+      UNION ALL
+      SELECT heads.conv_id, 1, k, role, text FROM heads JOIN turns ON turns.conv_id = heads.conv_id AND k > h),
+    steps AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS depth,
+        len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w, md5(length(role) || ':' || role || text) AS digest
+      FROM rebuilt),
+    paths AS (
+      SELECT conv_id, 0 AS depth, 0 AS w, '' AS path FROM ids
+      UNION ALL
+      SELECT conv_id, depth, w, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth) FROM steps),
+    lengths AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+    nodes AS (
+      SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = n), '')) AS ends_sha256
+      FROM paths JOIN lengths USING (conv_id) GROUP BY path, depth),
+    children AS (SELECT left(path, 32 * (depth - 1)::BIGINT) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    up AS (
+      SELECT left(path, 32 * unnest(range(depth + 1))::BIGINT) AS path, (n_convs - 1) * w AS saved,
+        (path NOT IN (SELECT path FROM children))::INTEGER AS leaf FROM nodes),
+    sums AS (SELECT path, sum(saved)::BIGINT AS saved_tokens, sum(leaf)::BIGINT AS n_leaves FROM up GROUP BY path)
+    SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, nodes.n_convs,
+      coalesce(children.n, 0) AS n_children, n_leaves, saved_tokens, nodes.ends_sha256
+    FROM nodes JOIN sums USING (path) LEFT JOIN children USING (path)
+    LEFT JOIN nodes AS above ON nodes.depth > 0 AND above.path = left(nodes.path, 32 * (nodes.depth - 1)::BIGINT)
+    """
+)
+def op11_prefix_trie(spark, sf_dir):
+    bound_batches(spark)
+    turns = cut(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.prefix_trie(prefix_trie.with_heads_of_groups(turns))
+
+
+def _repair_sql() -> str:
+    """The dynamic programme in SQL: per state (nothing, system, user, assistant) the least of cost, in 12
+    digits, and edits as one text, so that the least text is the cheapest and ASCII-least way to it."""
+
+    def more(way: str, cost: str, letter: str) -> str:
+        return f"(lpad((left({way}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({way}, 13) || '{letter}')"
+
+    def ways(v: str, code: str) -> list[str]:
+        kind, fault = f"({code} // 4)", f"({code} % 4)"
+        extra = f"CASE WHEN {fault} = 3 THEN 5 ELSE 0 END"
+        gone = [more(f"{v}[{i}]", "2", "D") for i in (1, 2, 3, 4)]
+        kept = lambda i, k: f"CASE WHEN {fault} IN (0, 3) AND {kind} = {k} THEN {more(f'{v}[{i}]', extra, 'K')} END"
+        changed = lambda i: f"CASE WHEN {fault} IN (0, 3) THEN {more(f'{v}[{i}]', f'1 + {extra}', 'R')} END"
+        return [
+            gone[0],
+            f"least({gone[1]}, {kept(1, 1)})",
+            f"least({gone[2]}, {', '.join(f'{kept(i, 2)}, {changed(i)}' for i in (1, 2, 4))})",
+            f"least({gone[3]}, {kept(3, 3)}, {changed(3)})",
+        ]
+
+    def inserted(g: list[str]) -> str:
+        user = f"least({g[2]}, {more(g[0], '5', 'I')}, {more(g[1], '5', 'I')}, {more(g[3], '5', 'I')})"
+        return f"[{g[0]}, {g[1]}, {user}, {g[3]}]"
+
+    def closed(v: str) -> str:
+        return f"[{v}[1], {v}[2], {v}[3], least({v}[4], {more(f'{v}[3]', '5', 'I')})]"
+
+    start = "['000000000000', NULL, '000000000005I', '000000000010II']::VARCHAR[]"
+    step = f"lambda acc, x: {{'code': 0, 'v': list_transform([{inserted([f'g[{i}]' for i in (1, 2, 3, 4)])}], lambda u: {closed('u')})[1]}}"
+    step = step.replace("g[", "list_transform([acc.v], lambda v: [" + ", ".join(ways("v", "x.code")) + "])[1][")
+    return rf"""
+    WITH {CRC_TABLE},
+    keyed AS (
+      SELECT *, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS hit
+      FROM conversations, crc_table),
+    rows_after AS (
+      SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, turn, CASE hit WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+        CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+        unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS nth FROM keyed),
+    ordered AS (
+      SELECT *, row_number() OVER (PARTITION BY conv, role, text ORDER BY place) AS seen FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text)) AS place FROM rows_after)),
+    coded AS (
+      SELECT *, CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS kind,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
+          WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM ordered),
+    paired AS (
+      SELECT *, lag(kind) OVER (PARTITION BY conv ORDER BY place) AS kind_before FROM coded),
+    faults AS (
+      SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+        count(*) FILTER (WHERE fault = 3) AS truncated,
+        count(*) FILTER (WHERE place > 1 AND NOT (kind_before, kind) IN ((1, 2), (2, 3), (3, 2))) AS illegal,
+        list({{'code': (kind * 4 + fault)::INTEGER, 'v': []::VARCHAR[]}} ORDER BY place) AS codes
+      FROM paired GROUP BY conv),
+    solved AS (
+      SELECT * EXCLUDE codes, list_reduce(list_prepend({{'code': 0, 'v': {start}}}, codes), {step}) AS s FROM faults),
+    best AS (SELECT * EXCLUDE s, least(s.v[1], s.v[4]) AS way FROM solved),
+    plans AS (SELECT *, left(way, 12)::BIGINT AS cost, substr(way, 13) AS audit FROM best),
+    letters AS (
+      SELECT conv, unnest(range(1, length(audit) + 1)) AS pos, unnest(string_split(audit, '')) AS letter FROM plans WHERE audit <> ''),
+    placed AS (
+      SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER run AS place, count(*) FILTER (WHERE letter <> 'D') OVER run AS nr
+      FROM letters WINDOW run AS (PARTITION BY conv ORDER BY pos)),
+    kept AS (
+      SELECT p.conv, p.pos, p.nr, p.letter, coded.role, CASE WHEN p.letter = 'I' THEN '' ELSE coded.text END AS text,
+        bool_or(p.nr = 1 AND p.letter = 'K' AND coded.kind = 1) OVER (PARTITION BY p.conv) AS led
+      FROM placed AS p LEFT JOIN coded ON coded.conv = p.conv AND coded.place = p.place AND p.letter <> 'I' WHERE p.letter <> 'D'),
+    lines AS (
+      SELECT conv, pos, CASE WHEN letter = 'K' THEN role WHEN nr % 2 = (CASE WHEN led THEN 0 ELSE 1 END) THEN 'user'
+        ELSE 'assistant' END || ':' || text AS line FROM kept),
+    digests AS (SELECT conv, sha256(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM lines GROUP BY conv)
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+      coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS conv FROM conversations)
+    LEFT JOIN plans USING (conv) LEFT JOIN digests USING (conv)
+    """
+
+
+@query(_repair_sql())
+def op12_conversation_repair(spark, sf_dir):
+    bound_batches(spark)
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
