@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
 from orthoflow.functions.text import strip
+from orthoflow.sources.snapshots import KeyedTable, Snapshot
 
 
 def _filled(column: str) -> Column:
@@ -160,6 +161,26 @@ def publish_version(versions: DataFrame, publishing: DataFrame, at: Column) -> D
     return changed.unionByName(opened)
 
 
+def store_review_paths(items: KeyedTable, results: DataFrame, mark: int | None = None) -> Snapshot | None:
+    """:func:`upsert_review_path` on a stored table of items by ``id``; only buckets of reviewed items are rewritten."""
+    return items.merge(results, lambda old, new: old if old is None else upsert_review_path(old, new), mark)
+
+
+def store_row_changes(
+    table: KeyedTable, changes: DataFrame, text: str, values: Sequence[str], mark: int | None = None
+) -> Snapshot | None:
+    """:func:`apply_row_changes` on a stored table; only buckets of changed rows are rewritten."""
+    return table.merge(changes, lambda old, new: apply_row_changes(old, new, table.keys, text, values), mark)
+
+
+def store_publication(versions: KeyedTable, publishing: DataFrame, at: Column, mark: int) -> Snapshot | None:
+    """:func:`publish_version` on a stored table of versions by ``course``, once per ``mark``: publishing the same
+    courses again would open further drafts."""
+    return versions.merge(
+        publishing.select("course").distinct(), lambda old, new: publish_version(old, new, at).drop("step"), mark
+    )
+
+
 def latest_version(versions: DataFrame) -> DataFrame:
     """Per course: current and draft ids, number of publications, start of the last one."""
     draft = F.col("start_ts").isNull() & F.col("end_ts").isNull()
