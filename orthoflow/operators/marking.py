@@ -1,9 +1,11 @@
 """Marking and correcting text.
 
 A text is cut in alternating pieces: words with at most one inner apostrophe part, and what
-stands between.  Pieces and errors meet in an equi join on document and word, so the work
-grows with the text and not with text times errors; only texts of documents that have errors
-are rebuilt.  Hits are whole pieces or whole apostrophe parts, never parts of a longer word.
+stands between.  Words that are an error in no document leave next to the scan, by a Bloom filter of the
+distinct errors; the others meet the errors in an equi join on document and word, so the work grows with the
+text and not with text times errors.  A text is rebuilt from its hits as slices between them: hits and texts
+meet once, by document, and no piece of a text is shuffled.  Hits are whole pieces or whole
+apostrophe parts, never parts of a longer word.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
 from orthoflow.functions.text import comment_text
+from orthoflow.operators.prefilter import key_filter
 from orthoflow.operators.tokens import running_ends
+from orthoflow.session import cut
 
 IS_WORD = r"^[\p{L}\p{N}_]"
 BIN = 64
@@ -38,8 +42,9 @@ def unit_keys(text: Column | str) -> Column:
 
 def documents_with_words(documents: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs of a document and a listed word (``key``, lower case) that its text contains."""
-    keys = F.explode_outer(unit_keys("text")).alias("key")
-    return documents.select("doc_id", keys).join(words.select("key").distinct(), "key", "left_semi")
+    listed = cut(words.select("key").distinct(), "listed")
+    keys = documents.select("doc_id", F.explode_outer(unit_keys("text")).alias("key"))
+    return key_filter(listed).keep(keys, "key").join(listed, "key", "left_semi")
 
 
 def error_word_list(errors: DataFrame) -> DataFrame:
@@ -50,66 +55,78 @@ def error_word_list(errors: DataFrame) -> DataFrame:
     )
 
 
-def _sub_words(piece: Column) -> Column:
+def _sub_words(piece: Column, size=F.length) -> Column:
     """The words that a piece can be hit as: (part, word, offset), part 0 being the whole piece."""
     entry = lambda part, word, at: F.struct(F.lit(part).alias("part"), word.alias("word"), at.alias("at"))
     first = F.substring_index(piece, "'", 1)
     whole = entry(0, piece, F.lit(0))
     halves = F.array(
-        whole, entry(1, first, F.lit(0)), entry(2, F.substring_index(piece, "'", -1), F.length(first) + 1)
+        whole, entry(1, first, F.lit(0)), entry(2, F.substring_index(piece, "'", -1), size(first) + 1)
     )
     return F.when(F.contains(piece, F.lit("'")), halves).otherwise(F.array(whole))
 
 
-def mark_occurrences(documents: DataFrame, errors: DataFrame) -> DataFrame:
-    """Every whole-word, case-insensitive hit of a document's errors: 0-based start and end."""
+def _word_rows(documents: DataFrame, size, key=F.lower) -> DataFrame:
+    """Every word that can be hit: ``doc_id``, ``at`` (where its piece begins), ``part``, ``word``, ``key`` and its
+    ``start_at`` and ``end_at``, in the unit that ``size`` measures a text in."""
     cut_up = documents.select("doc_id", pieces("text").alias("piece"))
-    ends = running_ends(F.transform("piece", lambda p: F.length(p)))
+    ends = running_ends(F.transform("piece", size))
     rows = (
         cut_up.select("doc_id", F.explode_outer(F.arrays_zip("piece", ends.alias("end"))).alias("p"))
         .where(F.rlike("p.piece", F.lit(IS_WORD)))
-        .select("doc_id", (F.col("p.end") - F.length("p.piece")).alias("start"), F.explode(_sub_words(F.col("p.piece"))).alias("s"))
+        .select("doc_id", (F.col("p.end") - size(F.col("p.piece"))).alias("at"), F.explode(_sub_words(F.col("p.piece"), size)).alias("s"))
     )
-    start = F.col("start") + F.col("s.at")
-    spots = rows.select(
-        "doc_id", F.lower("s.word").alias("key"), start.alias("start_at"), (start + F.length("s.word")).alias("end_at")
+    start = F.col("at") + F.col("s.at")
+    return rows.select(
+        "doc_id", "at", F.col("s.part").alias("part"), F.col("s.word").alias("word"), key(F.col("s.word")).alias("key"),
+        start.alias("start_at"), (start + size(F.col("s.word"))).alias("end_at"),
     )
-    return spots.join(errors.select("doc_id", "key").distinct(), ["doc_id", "key"])
+
+
+def mark_occurrences(documents: DataFrame, errors: DataFrame) -> DataFrame:
+    """Every whole-word, case-insensitive hit of a document's errors: 0-based start and end."""
+    listed = cut(errors.select("doc_id", "key").distinct(), "marked")
+    spots = _word_rows(documents, F.length).select("doc_id", "key", "start_at", "end_at")
+    return key_filter(listed).keep(spots, "key").join(listed, ["doc_id", "key"])
 
 
 def mark_counts(marks: DataFrame) -> DataFrame:
     return marks.groupBy("doc_id", "key").agg(F.count("*").alias("marks"))
 
 
-def _rebuilt(documents: DataFrame, table: DataFrame, key) -> DataFrame:
-    """Texts with each listed word replaced, once: ``table`` has doc_id, key and the text ``new``.
+def splice(text: Column | str, hits: Column | str) -> Column:
+    """``text`` with each hit replaced by its ``new`` text, as slices between consecutive hits.
 
-    A whole piece goes before its apostrophe parts.  ``key`` maps a word to its key.
+    ``hits`` are sorted by ``at``, ``part`` and have ``start_at`` and ``end_at`` in bytes.  A hit of a whole piece goes
+    before those of its apostrophe parts.
     """
-    listed = table.select("doc_id").distinct()
-    texts = documents.select("doc_id", "text")
-    pieces_ = texts.join(listed, "doc_id", "left_semi").select("doc_id", F.posexplode(pieces("text")).alias("pos", "piece"))
-    words_ = pieces_.where(F.rlike("piece", F.lit(IS_WORD)))
-    asked = words_.select("doc_id", "pos", F.explode(_sub_words(F.col("piece"))).alias("s"))
-    hits = asked.select("doc_id", "pos", "s.part", F.col("s.word").alias("word"), key(F.col("s.word")).alias("key")).join(
-        table, ["doc_id", "key"]
-    )
-    part = lambda i: F.max(F.when(F.col("part") == i, F.col("new"))).alias(f"new{i}")
-    news = hits.withColumn("new", F.concat("before", F.coalesce("replacement", "word"), "after")).groupBy("doc_id", "pos").agg(
-        part(0), part(1), part(2)
+    text, hits = (F.col(c) if isinstance(c, str) else c for c in (text, hits))
+    same = lambda h, i, back: F.coalesce(
+        (F.get(hits, i - back)["at"] == h["at"]) & (F.get(hits, i - back)["part"] == 0), F.lit(False)
     )
-    first, second = F.substring_index("piece", "'", 1), F.substring_index("piece", "'", -1)
-    halves = F.when(
-        F.coalesce("new1", "new2").isNotNull(),
-        F.concat(F.coalesce("new1", first), F.lit("'"), F.coalesce("new2", second)),
-    )
-    replaced = pieces_.join(news, ["doc_id", "pos"], "left").select(
-        "doc_id", F.struct("pos", F.coalesce("new0", halves, "piece").alias("t")).alias("p")
-    )
-    rebuilt = replaced.groupBy("doc_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "").alias("new_text")
-    )
-    return texts.join(rebuilt, "doc_id", "left").select("doc_id", F.coalesce("new_text", "text").alias("text"))
+    kept = F.filter(hits, lambda h, i: (h["part"] == 0) | ~(same(h, i, 1) | same(h, i, 2)))
+
+    def rebuilt(hits: Column) -> Column:
+        data, end = F.encode(text, "UTF-8"), lambda i: F.coalesce(F.get(hits, i)["end_at"], F.lit(0))
+        between = lambda i, h: F.substr(data, end(i - 1) + 1, h["start_at"] - end(i - 1)).cast("string")
+        parts = F.transform(hits, lambda h, i: F.concat(between(i, h), h["new"]))
+        tail = F.substr(data, end(F.size(hits) - 1) + 1).cast("string")
+        return F.concat(F.array_join(parts, ""), tail)
+
+    return F.transform(F.array(kept), rebuilt)[0]
+
+
+def _rebuilt(documents: DataFrame, table: DataFrame, key) -> DataFrame:
+    """Texts with each listed word replaced, once: ``table`` has doc_id, key and the texts ``before``, ``replacement``
+    (null: the word as it stands) and ``after``.  ``key`` maps a word to its key."""
+    texts = documents.select("doc_id", "text")
+    listed = cut(table, "listed")
+    spots = key_filter(listed).keep(_word_rows(texts, F.octet_length, key), "key")
+    new = F.concat("before", F.coalesce("replacement", "word"), "after")
+    hit = F.struct("at", "part", "start_at", "end_at", new.alias("new"))
+    hits = spots.join(listed, ["doc_id", "key"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    met = texts.join(hits, "doc_id", "left")
+    return met.select("doc_id", F.when(F.col("hits").isNull(), F.col("text")).otherwise(splice("text", "hits")).alias("text"))
 
 
 def highlight_text(documents: DataFrame, errors: DataFrame, opening: str = "[[", closing: str = "]]") -> DataFrame:
@@ -122,7 +139,7 @@ def highlight_text(documents: DataFrame, errors: DataFrame, opening: str = "[[",
 
 def apply_corrections(documents: DataFrame, corrections: DataFrame) -> DataFrame:
     """Case-sensitive whole-word replacement of each original word, once."""
-    table = corrections.select("doc_id", F.col("original").alias("key"), "replacement").distinct()
+    table = corrections.groupBy("doc_id", F.col("original").alias("key")).agg(F.max("replacement").alias("replacement"))
     return _rebuilt(documents, table.select("*", F.lit("").alias("before"), F.lit("").alias("after")), lambda w: w)
 
 
@@ -141,8 +158,9 @@ def longest_first(corrections: DataFrame) -> DataFrame:
 def errors_per_unit(units: DataFrame, errors: DataFrame) -> DataFrame:
     """The errors of the document that occur in each unit: array ``found`` in document order."""
     rest = [c for c in units.columns if c != "text"]
+    listed = cut(errors.select("doc_id", "first_pos", "key", "token", "suggestions"), "listed")
     keys = units.select(*rest, F.explode_outer(unit_keys("text")).alias("key"))
-    met = keys.join(errors.select("doc_id", "first_pos", "key", "token", "suggestions"), ["doc_id", "key"])
+    met = key_filter(listed).keep(keys, "key").join(listed, ["doc_id", "key"])
     found = F.sort_array(F.collect_list(F.struct("first_pos", "key", "token", "suggestions")))
     return met.groupBy(*rest).agg(found.alias("found"))
 
@@ -199,8 +217,9 @@ def unit_highlight_words(units: DataFrame, errors: DataFrame, extend: bool = Tru
     read = units.withColumn("words", F.reverse(letters)).withColumn("lows", F.transform("words", lambda w: F.lower(w)))
     read = read.withColumn("word_keys", F.array_distinct("lows"))
     # errors that are no word of the unit and no beginning of one cannot give anything
+    listed = cut(errors.select("doc_id", "first_pos", "key"), "listed")
     asked = read.select(*rest, F.explode(F.array_distinct(F.concat("word_keys", starts))).alias("key"))
-    met = asked.join(errors.select("doc_id", "first_pos", "key"), ["doc_id", "key"])
+    met = key_filter(listed).keep(asked, "key").join(listed, ["doc_id", "key"])
     ordered = F.sort_array(F.collect_list(F.struct("first_pos", "key")))
     listed = met.groupBy(*rest).agg(F.transform(ordered, lambda e: e["key"]).alias("keys"))
     return read.join(listed, rest).select(*rest, chosen.alias("highlight")).where(F.size("highlight") > 0)
