@@ -119,6 +119,11 @@ def items_without_content(spark, sf):
   SELECT s.id, s.draft_id, CASE WHEN r.p IS NOT NULL THEN trim(r.p)[1:1000] WHEN (ok AND NOT has_errors) OR replaced THEN NULL ELSE path_rev END AS path_rev
   FROM s LEFT JOIN r USING (id)""")
 def upsert_review_path(spark, sf):
+    return R.upsert_review_path(schedules(spark, sf), path_results(spark, sf)).select("id", "draft_id", "path_rev")
+
+
+def path_results(spark, sf):
+    """Results of reviews, one per order that has lines."""
     results = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
         F.bool_and(F.col("l_quantity") > 2).alias("ok"),
         F.bool_or(F.col("l_discount") > 0.07).alias("has_errors"),
@@ -126,7 +131,7 @@ def upsert_review_path(spark, sf):
         F.bool_or(F.col("l_tax") > 0.07).alias("replaced"),
     )
     path = F.when(F.col("big"), F.concat(F.lit(" new/"), F.col("id").cast("string"), F.lit(" ")))
-    return R.upsert_review_path(schedules(spark, sf), results.withColumn("path_rev", path).drop("big")).select("id", "draft_id", "path_rev")
+    return results.withColumn("path_rev", path).drop("big")
 
 
 def grades(spark, sf):
@@ -154,6 +159,11 @@ GRADES = """g AS (SELECT l_orderkey AS draft_id, l_linenumber AS row_id, l_retur
   FROM g FULL JOIN c ON g.draft_id = c.draft_id AND g.row_id = c.row_id
   WHERE (g.draft_id IS NOT NULL AND (c.op IS NULL OR c.op <> 'D')) OR (g.draft_id IS NULL AND c.op = 'I')""")
 def apply_row_changes(spark, sf):
+    return R.apply_row_changes(grades(spark, sf).drop("deleted"), row_changes(spark, sf), ["draft_id", "row_id"], "label", ["pct"])
+
+
+def row_changes(spark, sf):
+    """Events as changes of grade rows."""
     op = (
         F.when(F.col("event_type") == "error", "D")
         .when(F.col("event_type").isin("purchase", "signup"), "I")
@@ -162,7 +172,7 @@ def apply_row_changes(spark, sf):
     label = F.when(F.col("event_id") % 7 == 0, "  ").otherwise(
         F.concat(F.lit(" "), "event_type", F.col("event_id").cast("string"))
     )
-    changes = table(spark, sf, "events").select(
+    return table(spark, sf, "events").select(
         F.floor(F.col("event_id") / 4).alias("draft_id"),
         (F.col("user_id") % 3 + 1).cast("int").alias("row_id"),
         op.alias("op"),
@@ -170,7 +180,6 @@ def apply_row_changes(spark, sf):
         F.floor("value").cast("decimal(9,2)").alias("pct"),
         "ts",
     )
-    return R.apply_row_changes(grades(spark, sf).drop("deleted"), changes, ["draft_id", "row_id"], "label", ["pct"])
 
 
 def versions(spark, sf):
@@ -202,9 +211,15 @@ VERSIONS = """v AS (SELECT o_orderkey AS id, o_custkey AS course, CASE WHEN plac
     CASE WHEN pub AND cur THEN 'closed' WHEN pub AND draft THEN 'promoted' ELSE 'unchanged' END AS step FROM m
   UNION ALL SELECT NULL, course, NULL, NULL, 'opened' FROM m WHERE pub AND draft""")
 def publish_version(spark, sf):
-    publishing = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("course"))
-    stored = versions(spark, sf).withColumns({c: F.col(c).cast("timestamp") for c in ("start_ts", "end_ts")})
-    return R.publish_version(stored, publishing, F.lit("2026-07-01").cast("timestamp"))
+    return R.publish_version(dated_versions(spark, sf), publishing(spark, sf), F.lit("2026-07-01").cast("timestamp"))
+
+
+def publishing(spark, sf):
+    return table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("course"))
+
+
+def dated_versions(spark, sf):
+    return versions(spark, sf).withColumns({c: F.col(c).cast("timestamp") for c in ("start_ts", "end_ts")})
 
 
 @query(f"""WITH {VERSIONS} SELECT course, max(CASE WHEN start_ts IS NOT NULL AND end_ts IS NULL THEN id END) AS current_id,

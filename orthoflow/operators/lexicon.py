@@ -45,9 +45,10 @@ def subtract_base(words: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def deny(words: DataFrame, denied: DataFrame) -> DataFrame:
-    """Remove denied words whatever their case."""
-    keys = denied.select(F.lower("word").alias("_low")).distinct()
-    return words.withColumn("_low", F.lower("word")).join(keys, "_low", "left_anti").drop("_low")
+    """Remove denied words whatever their case; where both have ``pkg``, in the package that denies them."""
+    scope = [c for c in _scope(words) if c in denied.columns]
+    keys = denied.select(*scope, F.lower("word").alias("_low")).distinct()
+    return words.withColumn("_low", F.lower("word")).join(keys, [*scope, "_low"], "left_anti").drop("_low")
 
 
 def apply_fixes(words: DataFrame, fixes: DataFrame, **bounds) -> DataFrame:

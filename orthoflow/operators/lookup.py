@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
 from orthoflow.functions.text import fold, is_title, is_upper, scrub_non_lexical, words
-from orthoflow.session import HOT_KEYS, cut
+from orthoflow.session import FREQUENT_ENTRIES, cut
 
 # Lexicon words up to this length are found by deleted letters, longer ones by segments.
 SHORT_WORD = 14
@@ -37,7 +37,7 @@ def out_of_lexicon(rows: DataFrame, lexicon: DataFrame, scope: list[str] = ["lan
     A word is accepted exactly, or by its lower-case entry when it is written in Title or
     UPPER form.  A Title entry does not accept the lower-case word.
 
-    Rows of the ``HOT_KEYS`` most frequent entries leave first, next to the scan (a broadcast of
+    Rows of the ``FREQUENT_ENTRIES`` most frequent entries leave first, next to the scan (a broadcast of
     fixed length), so no frequent word is a hot key of the joins with the whole lexicon.  Those
     are planned on the stored size of the lexicon, and the second one has the word itself, not
     null, as key of words that have no other accepted form.
@@ -46,7 +46,7 @@ def out_of_lexicon(rows: DataFrame, lexicon: DataFrame, scope: list[str] = ["lan
     entries = lexicon.select(*scope, F.col("word").alias("_form"))
     weight = [F.desc("df")] if "df" in lexicon.columns else []
     frequent = F.broadcast(
-        lexicon.orderBy(*weight, *scope, "word").limit(HOT_KEYS).select(*scope, F.col("word").alias("_form"))
+        lexicon.orderBy(*weight, *scope, "word").limit(FREQUENT_ENTRIES).select(*scope, F.col("word").alias("_form"))
     )
     cased = F.when(is_title("token") | is_upper("token"), F.lower("token")).otherwise(F.col("token"))
     out = rows

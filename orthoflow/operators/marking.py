@@ -10,11 +10,13 @@ apostrophe parts, never parts of a longer word.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
-from orthoflow.functions.text import comment_text
+from orthoflow.functions.text import comment_text, normalize_nfc
 from orthoflow.operators.prefilter import key_filter
 from orthoflow.operators.tokens import running_ends
 from orthoflow.session import cut
@@ -90,6 +92,33 @@ def mark_occurrences(documents: DataFrame, errors: DataFrame) -> DataFrame:
     return key_filter(listed).keep(spots, "key").join(listed, ["doc_id", "key"])
 
 
+def composed_ends(text: Column | str) -> Column:
+    """Where, in the composed text, letters end that stand as letter and mark in ``text``."""
+    text = F.col(text) if isinstance(text, str) else text
+    pairs = "|".join(unicodedata.normalize("NFD", letter) for letter in V.COMPOSED_LETTERS)
+    gaps = F.split(text, pairs, -1)
+    return running_ends(F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g) + 1))
+
+
+def mark_composed(documents: DataFrame, errors: DataFrame) -> DataFrame:
+    """:func:`mark_occurrences` on composed text, in places of the text as it is.
+
+    ``errors`` are those of the composed documents.  Each letter that the text has as letter and mark moves what
+    comes after it by one.  ``blocked``: the span has another length than the composed word, so a place that is
+    counted in one text must not be used in the other.
+    """
+    marked = documents.where(F.rlike("text", F.lit("[\u0301\u0303\u0308]")))
+    ends = marked.select("doc_id", composed_ends("text").alias("ends")).where(F.size("ends") > 0)
+    composed = documents.select("doc_id", normalize_nfc("text").alias("text"))
+    marks = mark_occurrences(composed, errors).join(ends, "doc_id", "left")
+    before = lambda at: F.coalesce(F.size(F.filter("ends", lambda e: e <= F.col(at))), F.lit(0))
+    moved = marks.withColumns({"_start": F.col("start_at") + before("start_at"), "_end": F.col("end_at") + before("end_at")})
+    return moved.select(
+        "doc_id", "key", F.col("_start").alias("start_at"), F.col("_end").alias("end_at"),
+        (F.col("_end") - F.col("_start") != F.col("end_at") - F.col("start_at")).alias("blocked"),
+    )
+
+
 def mark_counts(marks: DataFrame) -> DataFrame:
     return marks.groupBy("doc_id", "key").agg(F.count("*").alias("marks"))
 

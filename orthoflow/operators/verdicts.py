@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orthoflow import fixed_values as V
 from orthoflow.functions.text import short_reason, strip
+from orthoflow.operators.numbering import numbered
 
 ANSWER_SCHEMA = "items array<struct<palabra string, es_error_ortografico boolean, motivo string>>"
 
@@ -17,6 +18,13 @@ def batches(items: DataFrame, keys: list[str], order: list, size: int = V.BATCH_
     return items.withColumn("place", place).withColumn("batch", F.floor(F.col("place") / size).cast("int"))
 
 
+def corpus_batches(items: DataFrame, order: list, size: int = V.BATCH_SIZE) -> DataFrame:
+    """Number the batches of ``size`` items over all rows, in order; only the last one may have fewer.
+
+    Rows are numbered by ranges (:func:`numbered`), so no task gets them all."""
+    return numbered(items, [], order).withColumn("batch", F.floor(F.col("place") / size).cast("long"))
+
+
 def batch_prompts(batched: DataFrame, keys: list[str]) -> DataFrame:
     """One text per batch that lists its words, and the answer budget."""
     ordered = F.sort_array(F.collect_list(F.struct("place", "token")))

@@ -10,6 +10,7 @@ from orthoflow.functions.text import (
     fold,
     looks_like_proper_name,
     match_case,
+    normalize_nfc,
     scrub_non_lexical,
     should_ignore,
     should_ignore_older,
@@ -26,6 +27,7 @@ from orthoflow.operators.lookup import (
 )
 from orthoflow.operators.tokens import document_vocabulary
 from orthoflow.session import cut, spread_lookup
+from orthoflow.sources.snapshots import KeyedTable, Snapshot
 
 
 ERROR_FIELDS = ["first_pos", "token", "kind", "suggestions", "reason"]
@@ -74,6 +76,11 @@ def find_errors(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     return _errors(document_vocabulary(documents, ["doc_id", "lang"]), lexicon)
 
 
+def find_errors_composed(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """:func:`find_errors` of texts whose accented letters may stand as letter and mark: as in the composed text."""
+    return find_errors(documents.withColumn("text", normalize_nfc("text")), lexicon)
+
+
 def collect_corrections(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Corrections of every document: each distinct casing of an error word is replaced by its
     first suggestion in the same casing; corrections that change nothing are dropped."""
@@ -213,6 +220,17 @@ def errors_report(
     return results.select("doc_id", F.to_json(F.struct(*report)).alias("report"))
 
 
+def store_reports(reports: KeyedTable, new: DataFrame, mark: int | None = None) -> Snapshot | None:
+    """Put reports (``key``, ``report`` and any other columns) in a stored table by ``key``, one per key.
+
+    A report takes the place of the one its key had before; one that is the same as before writes nothing, so a
+    second run adds no file.  Of several new reports of a key the greatest one is taken.
+    """
+    rest = [c for c in new.columns if c != "key"]
+    one = new.groupBy("key").agg(F.max(F.struct(*rest)).alias("_r")).select("key", *[F.col(f"_r.`{c}`") for c in rest])
+    return reports.upsert(cut(one, "reports"), mark)
+
+
 def batch_summary(results: DataFrame, group: list[str]) -> DataFrame:
     """Documents, documents with errors, candidates and confirmed errors per group."""
     return results.groupBy(*group).agg(
@@ -230,10 +248,17 @@ def top_marked_words(errors: DataFrame, by: list[str], k: int = 100) -> DataFram
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def newest_decisions(decisions: DataFrame, scope: list[str] = []) -> DataFrame:
+    """The last decision (``word``, ``decision`` add or deny, ``ts``) per word, by lower-case ``key``; of two at the same
+    time deny counts."""
+    by = [*scope, F.lower("word").alias("key")]
+    return decisions.groupBy(*by).agg(F.max_by("decision", F.struct("ts", "decision")).alias("decision"))
+
+
 def word_telemetry(errors: DataFrame, decisions: DataFrame, by: list[str], k: int = 100) -> DataFrame:
-    """Most marked words with the human decision (add, deny) where there is one."""
-    return (
-        top_marked_words(errors, by, k)
-        .join(decisions.select(F.lower("word").alias("key"), "decision").distinct(), "key", "left")
-        .withColumn("decision", F.coalesce("decision", F.lit("open")))
-    )
+    """Most marked words with the human decision (add, deny) where there is one; the newest counts if ``ts`` says when."""
+    if "ts" in decisions.columns:
+        known = newest_decisions(decisions)
+    else:
+        known = decisions.select(F.lower("word").alias("key"), "decision").distinct()
+    return top_marked_words(errors, by, k).join(known, "key", "left").withColumn("decision", F.coalesce("decision", F.lit("open")))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
+HOT_KEYS = 100_000
+FREQUENT_ENTRIES = 1_000
 
 _local_dirs: dict[str, str] = {}
 _open_scopes: list[list[str]] = []
@@ -64,22 +65,26 @@ def spread_lookup(
     weight: str,
     spread_by: str,
     hot_rows: int = HOT_ROWS,
-    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Inner join of many ``rows`` with a ``table`` that has one row per key.
+    """Inner join of many ``rows`` with a stored ``table`` that has one row per key.
 
     ``table[weight]`` holds how many rows of the big side carry the key (known from the
-    aggregation that built the table).  The ``hot_keys`` heaviest keys are cut in parts of
-    ``hot_rows`` rows on both sides, so that no task gets all rows of a frequent word.  Only
-    this list of fixed length is broadcast.
+    aggregation that built the table).  Every key of more than ``hot_rows`` rows is cut in parts of
+    that many on both sides, so that no task gets all rows of a frequent word.  There is one such key
+    per ``hot_rows`` rows at most; their list is sent to the tasks while it has ``HOT_KEYS`` rows or
+    fewer, and joined by its stored size beyond that.
     """
-    parts = F.greatest(F.ceil(F.col(weight) / F.lit(hot_rows)).cast("int"), F.lit(1)).alias("_parts")
-    hot = table.orderBy(F.desc(weight), *keys).limit(hot_keys).select(*keys, parts)
+    parts = F.ceil(F.col(weight) / F.lit(hot_rows)).cast("int").alias("_parts")
+    hot = table.where(F.col(weight) > hot_rows).select(*keys, parts)
+    n = hot.count()
+    if not n:
+        return rows.join(table.drop(weight), keys)
+    hot = F.broadcast(hot) if n <= HOT_KEYS else cut(hot, "hot")
     salted_rows = (
-        rows.join(F.broadcast(hot), keys, "left")
+        rows.join(hot, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.coalesce("_parts", F.lit(1))).cast("int"))
         .drop("_parts")
     )
     salts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-    salted_table = table.join(F.broadcast(hot), keys, "left").withColumn("_salt", salts).drop(weight, "_parts")
+    salted_table = table.join(hot, keys, "left").withColumn("_salt", salts).drop(weight, "_parts")
     return salted_rows.join(salted_table, [*keys, "_salt"]).drop("_salt")
