@@ -173,8 +173,7 @@ def force_keep(spark, sf):
     words = cased_words(spark, sf)
     kept = L.orthography_filter(words, reference(spark, sf))
     keep = benchmark_words(spark, sf).select(F.lit("en").alias("pkg"), "word")
-    merged = L.force_keep(kept, keep)
-    return merged.join(words.where(F.length("word") == 4), ["pkg", "word"], "left_anti")
+    return L.force_keep(kept, keep, removed=words.where(F.length("word") == 4))
 
 
 @query(f"""WITH {TOK}, {BENCH}, cased AS (SELECT DISTINCT lang AS pkg, token AS word FROM tok UNION SELECT 'en', word FROM bench),

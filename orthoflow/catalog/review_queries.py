@@ -146,12 +146,15 @@ def top_marked_words(spark, sf):
 
 
 @query(f"""WITH {ERRORS}, {TOP}, {BENCH}, b AS (SELECT DISTINCT lower(word) AS key FROM bench)
-  SELECT source, key, documents, place, CASE WHEN key IN (SELECT key FROM b) THEN 'add' ELSE 'open' END AS decision
-  FROM top WHERE place <= 100""")
+  SELECT source, key, documents, place, CASE WHEN key NOT IN (SELECT key FROM b) THEN 'open'
+    WHEN length(key) % 2 = 0 THEN 'deny' ELSE 'add' END AS decision FROM top WHERE place <= 100""")
 def word_telemetry(spark, sf):
+    """Words of the benchmark were added first; those of even length were denied later."""
     found = errors(spark, sf).join(documents(spark, sf).select("doc_id", "source"), "doc_id")
-    decisions = benchmark_words(spark, sf).withColumn("decision", F.lit("add"))
-    return Q.word_telemetry(found, decisions, ["source"])
+    bench = benchmark_words(spark, sf)
+    added = bench.select("word", F.lit("add").alias("decision"), F.lit(1).alias("ts"))
+    denied = bench.where(F.length("word") % 2 == 0).select("word", F.lit("deny").alias("decision"), F.lit(2).alias("ts"))
+    return Q.word_telemetry(found, added.unionByName(denied), ["source"])
 
 
 @query(f"""WITH {ERRORS} SELECT doc_id, lower(token) AS key, arg_min(token, first_pos) AS token, min(first_pos) AS first_pos
@@ -308,10 +311,17 @@ def apply_corrections(spark, sf):
     return M.apply_corrections(documents(spark, sf), Q.collect_corrections(documents(spark, sf), lexicon(spark, sf)))
 
 
-@query(f"""WITH {FIXED} SELECT a.doc_id, a.original, a.replacement, b.replacement AS "then" FROM corr a JOIN corr b
+@query(f"""WITH {TOK}, {VOC}, corr AS (SELECT doc_id, key AS original, key[:-2] AS replacement FROM voc WHERE length(key) >= 3)
+  SELECT a.doc_id, a.original, a.replacement, b.replacement AS "then" FROM corr a JOIN corr b
   ON a.doc_id = b.doc_id AND b.original = a.replacement""")
 def correction_chains(spark, sf):
-    return M.correction_chains(cut(Q.collect_corrections(documents(spark, sf), lexicon(spark, sf)), "corrections"))
+    """A table of fixes takes the last letter off each word, and some results are words that are fixed too."""
+    vocabulary = vocabulary_of(documents(spark, sf), ["doc_id", "lang"]).where(F.length("key") >= 3)
+    fixes = cut(vocabulary.select(F.col("key").alias("word")).distinct().withColumn("fixed", F.expr("left(word, length(word) - 1)")), "fixes")
+    corrections = vocabulary.select("doc_id", F.col("key").alias("word")).join(fixes, "word").select(
+        "doc_id", F.col("word").alias("original"), F.col("fixed").alias("replacement")
+    )
+    return M.correction_chains(cut(corrections, "corrections"))
 
 
 @query(f"WITH {FIXED} SELECT doc_id, original, replacement FROM corr ORDER BY length(original) DESC, original")

@@ -64,9 +64,12 @@ def apply_fixes(words: DataFrame, fixes: DataFrame, **bounds) -> DataFrame:
 
 
 def force_keep(words: DataFrame, keep: DataFrame, removed: DataFrame | None = None) -> DataFrame:
-    """Add curated words after filtering; ``removed`` drops wrong twins of them."""
+    """Add curated words after filtering; ``removed`` drops wrong twins of them, where it has ``pkg`` in that package."""
     bag = merge_bags(words, keep)
-    return bag if removed is None else bag.join(removed.select("word"), "word", "left_anti")
+    if removed is None:
+        return bag
+    keys = [*[c for c in _scope(bag) if c in removed.columns], "word"]
+    return bag.join(removed.select(*keys), keys, "left_anti")
 
 
 def harvest(words: DataFrame, markers: Sequence[str]) -> DataFrame:
