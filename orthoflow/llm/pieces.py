@@ -18,6 +18,10 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHED_WORDS = 300_000
 CACHED_PAIRS = 300_000
+ENDING = 3
+ID_BITS = 32
+NO_PIECE = -1
+NO_PIECE_SCORE = -1e6
 # A marked word: blanks and what follows them, up to the next blank or line feed.
 MARKED_WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -36,7 +40,7 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(pieces) if i not in hidden}
         self.ranks = {p: -scores[i] for p, i in self.ids.items()}
         self.scores = {p: scores[i] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        self.endings = piece_endings(self.ids)
         self.special = frozenset(special)
         if any(re.search(f"[^{SPACE}]{SPACE}|.\n|\n.", p) for p in self.ids):
             raise ValueError("a piece of this model goes on over the end of a marked word")
@@ -53,14 +57,92 @@ class Vocabulary:
 
     def merge(self, text: str) -> list[str]:
         """Pieces of a short text by merging, the earliest merge first, from left to right among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            ranks = [self.ranks.get(a + b, np.inf) for a, b in zip(parts, parts[1:])]
-            best = min(range(len(ranks)), key=ranks.__getitem__)
-            if ranks[best] == np.inf:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        return self.merges(text)[-1][1]
+
+    def merges(self, text: str) -> list[tuple[float, list[str]]]:
+        """The parts of a short text before its first merge and after each one, with the rank of the next merge."""
+        parts, steps = list(text), []
+        ranks = [self.ranks.get(a + b, np.inf) for a, b in zip(parts, parts[1:])]
+        while True:
+            rank = min(ranks, default=np.inf)
+            steps.append((rank, list(parts)))
+            if rank == np.inf:
+                return steps
+            i = ranks.index(rank)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = self.ranks.get(parts[i - 1] + parts[i], np.inf)
+            if i < len(ranks):
+                ranks[i] = self.ranks.get(parts[i] + parts[i + 1], np.inf)
+
+
+class Neighbours:
+    """Whether merging leaves two pieces side by side as they are.
+
+    Until something merges over the border between them, the merges of the two go on as they do alone, the
+    earlier rank first.  So it is enough to follow the two lists of merges, which are kept per piece, and to
+    ask at each step for the rank of the two parts at the border.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.ranks = vocabulary.ranks
+        self.vocabulary = vocabulary
+        self.known: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
+
+    def history(self, piece: str) -> tuple[list[float], list[str], list[str]] | None:
+        """Ranks of the merges of a piece, and its first and last part at each step; None if they do not end in it."""
+        if piece not in self.known:
+            steps = self.vocabulary.merges(piece)
+            whole = steps[-1][1] == [piece]
+            self.known[piece] = ([r for r, _ in steps], [p[0] for _, p in steps], [p[-1] for _, p in steps]) if whole else None
+        return self.known[piece]
+
+    def stay(self, before: str, piece: str) -> bool:
+        """``before`` is empty at the beginning of a word; a letter that is no piece merges with nothing."""
+        right = self.history(piece)
+        if right is None:
+            return False
+        if not before or before not in self.vocabulary.ids:
+            return True
+        left = self.history(before)
+        if left is None:
+            return False
+        (ranks_a, _, ends), (ranks_b, begins, _), i, j = left, right, 0, 0
+        get, never = self.ranks.get, np.inf
+        over = get(ends[0] + begins[0], never)
+        while True:
+            a, b = ranks_a[i], ranks_b[j]
+            if a <= b:
+                if over < a:
+                    return False
+                if a == never:
+                    return True
+                i += 1
+                if ends[i] is ends[i - 1]:
+                    continue
+            else:
+                if over <= b:
+                    return False
+                j += 1
+                if begins[j] is begins[j - 1]:
+                    continue
+            over = get(ends[i] + begins[j], never)
+
+
+def piece_endings(pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    """Lengths of the pieces that end in each ending of up to ``ENDING`` letters, the longest first.
+
+    A piece that is shorter than an ending counts for all endings that end in it, so one look at the last
+    letters of a prefix gives all lengths that a piece can have there.
+    """
+    lengths: dict[str, set[int]] = {}
+    for p in pieces:
+        lengths.setdefault(p[-ENDING:], set()).add(len(p))
+    for ending in sorted(lengths, key=len):
+        for i in range(1, len(ending)):
+            lengths[ending] |= lengths.get(ending[i:], set())
+    return {e: tuple(sorted(found, reverse=True)) for e, found in lengths.items()}
 
 
 class SharedPrefixEncoder:
@@ -80,40 +162,31 @@ class SharedPrefixEncoder:
     def __init__(self, vocabulary: Vocabulary, merges: bool = True):
         self.vocabulary = vocabulary
         self.merges = merges
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.neighbours = Neighbours(vocabulary)
+        self.follows: dict[int, bool] = {}
         self.encoded: dict[str, tuple[int, ...]] = {}
 
-    def may_follow(self, before: str, piece: str) -> bool:
-        """Whether merging leaves ``before`` and ``piece`` as they are, side by side."""
-        ok = self.follows.get((before, piece))
-        if ok is None:
-            if len(self.follows) >= CACHED_PAIRS:
-                self.follows.clear()
-            ok = self.vocabulary.merge(before + piece) == ([before, piece] if before else [piece])
-            self.follows[before, piece] = ok
+    def may_follow(self, before: int, piece: int) -> bool:
+        """Whether merging leaves the pieces with these ids as they are, side by side; ``NO_PIECE`` comes before the
+        first piece and after a letter that is no piece."""
+        if len(self.follows) >= CACHED_PAIRS:
+            self.follows.clear()
+        pieces = self.vocabulary.pieces
+        ok = self.neighbours.stay("" if before == NO_PIECE else pieces[before], pieces[piece])
+        self.follows[before << ID_BITS | piece] = ok
         return ok
 
-    def state(self, word: str, end: int, states: list) -> tuple[float, str]:
-        """State of the prefix of ``word`` of ``end`` letters, given those of the shorter ones."""
-        vocabulary, best = self.vocabulary, None
-        for begin in range(max(0, end - vocabulary.longest), end):
-            piece = word[begin:end]
-            if piece not in vocabulary.ids:
-                continue
-            score, before = states[begin]
-            if not self.merges:
-                total = score + vocabulary.scores[piece]
-                if best is None or total > best[0]:
-                    best = (total, piece)
-            elif (before and before not in vocabulary.ids) or self.may_follow(before, piece):
-                return 0.0, piece
-        if best is None:
-            return states[end - 1][0] + (0.0 if self.merges else -1e6), word[end - 1]
-        return best
+    def letter_ids(self, letter: str) -> tuple[int, ...]:
+        """UTF-8 bytes of a letter that is no piece."""
+        return tuple(self.vocabulary.bytes[b] for b in letter.encode("utf-8", "surrogatepass"))
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct marked words."""
-        states: list[tuple[float, str]] = [(0.0, "")]
+        """Ids of distinct marked words.
+
+        A state of a prefix is the id and length of its last piece, and with probabilities the best sum of scores.
+        """
+        state = self.merge_state if self.merges else self.score_state
+        states: list[tuple] = [(NO_PIECE, 0, 0.0)]
         last, out = "", {}
         for word in sorted(words):
             common, most = 0, min(len(last), len(word))
@@ -121,22 +194,65 @@ class SharedPrefixEncoder:
                 common += 1
             del states[common + 1 :]
             for end in range(common + 1, len(word) + 1):
-                states.append(self.state(word, end, states))
-            out[word], last = self.walk_back(states), word
+                states.append(state(word, end, states))
+            out[word], last = self.walk_back(word, states), word
         return out
 
-    def walk_back(self, states: list[tuple[float, str]]) -> tuple[int, ...]:
-        """Ids of the word whose states these are; a letter without piece gives its UTF-8 bytes."""
-        ids, end = [], len(states) - 1
+    def walk_back(self, word: str, states: list[tuple]) -> tuple[int, ...]:
+        """Ids of the word whose states these are, from its end."""
+        ids, end = [], len(word)
         while end:
-            piece = states[end][1]
-            known = self.vocabulary.ids.get(piece)
-            if known is not None:
-                ids.append(known)
+            piece, length = states[end][:2]
+            if piece == NO_PIECE:
+                ids += reversed(self.letter_ids(word[end - 1]))
             else:
-                ids += [self.vocabulary.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass"))]
-            end -= len(piece)
-        return tuple(reversed(ids))
+                ids.append(piece)
+            end -= length
+        ids.reverse()
+        return tuple(ids)
+
+    def lengths_at(self, word: str, end: int) -> tuple[int, ...]:
+        """Lengths of the pieces that may end at ``end``, by the last letters."""
+        endings = self.vocabulary.endings
+        for n in range(min(ENDING, end), 0, -1):
+            found = endings.get(word[end - n : end])
+            if found is not None:
+                return found
+        return ()
+
+    def merge_state(self, word: str, end: int, states: list[tuple]) -> tuple:
+        """State of the prefix of ``end`` letters.  One piece may end there; the one that goes on from the last
+        piece of the prefix before is asked for first, because it often does."""
+        ids, follows = self.vocabulary.ids, self.follows
+        likely = states[end - 1][1] + 1
+        piece = ids.get(word[end - likely : end])
+        if piece is not None:
+            before = states[end - likely][0]
+            ok = follows.get(before << ID_BITS | piece)
+            if ok or (ok is None and self.may_follow(before, piece)):
+                return piece, likely
+        for length in self.lengths_at(word, end):
+            if length > end or length == likely:
+                continue
+            piece = ids.get(word[end - length : end])
+            if piece is None:
+                continue
+            before = states[end - length][0]
+            ok = follows.get(before << ID_BITS | piece)
+            if ok or (ok is None and self.may_follow(before, piece)):
+                return piece, length
+        return NO_PIECE, 1
+
+    def score_state(self, word: str, end: int, states: list[tuple]) -> tuple:
+        """State of the prefix of ``end`` letters by the usual Viterbi step: the best sum of scores."""
+        best = None
+        for length in self.lengths_at(word, end):
+            piece = self.vocabulary.ids.get(word[end - length : end]) if length <= end else None
+            if piece is not None:
+                total = states[end - length][2] + self.vocabulary.scores[self.vocabulary.pieces[piece]]
+                if best is None or total > best[2]:
+                    best = (piece, length, total)
+        return best or (NO_PIECE, 1, states[end - 1][2] + NO_PIECE_SCORE)
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the distinct marked words that are not known yet are encoded together."""
