@@ -113,9 +113,11 @@ def find_errors_composed(spark, sf):
 OTHERS = q(f"[^{V.COMPOSED_LETTERS}]")
 
 
-@query(f"""WITH {ERRORS}, {VQ.HITS}, m AS (SELECT hit.*, length(regexp_replace(text[1:start_at], {OTHERS}, '', 'g')) AS s,
-    length(regexp_replace(text[1:end_at], {OTHERS}, '', 'g')) AS e FROM hit JOIN documents USING (doc_id))
-  SELECT doc_id, key, (start_at + s)::INTEGER AS start_at, (end_at + e)::INTEGER AS end_at, e > s AS blocked FROM m""")
+@query(f"""WITH {ERRORS}, {VQ.HITS}, c AS (SELECT doc_id, i, piece, s, sum(length(regexp_replace(piece, {OTHERS}, '', 'g')))
+      OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS moved FROM o),
+  m AS (SELECT hit.*, coalesce(moved, 0) + length(regexp_replace(piece[1:start_at - s], {OTHERS}, '', 'g')) AS b,
+    coalesce(moved, 0) + length(regexp_replace(piece[1:end_at - s], {OTHERS}, '', 'g')) AS e FROM hit JOIN c USING (doc_id, i))
+  SELECT doc_id, key, (start_at + b)::INTEGER AS start_at, (end_at + e)::INTEGER AS end_at, e > b AS blocked FROM m""")
 def mark_composed(spark, sf):
     docs = decomposed(spark, sf)
     return M.mark_composed(docs, Q.find_errors_composed(docs, lexicon(spark, sf)))
