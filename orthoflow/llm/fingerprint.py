@@ -9,15 +9,13 @@ from orthoflow.session import cut
 
 EQUAL_LANES = 8
 LIKE_WORDS = 32
-RUN_WORDS = 3
-LANE_BITS = 16
-LANES_A_WORD = 3
+LANE_BITS = 31
+LANES_A_WORD = 2
 WORD_BITS = LANE_BITS * LANES_A_WORD
 WORD_MASK = (1 << WORD_BITS) - 1
 LOW_BITS = sum(1 << (LANE_BITS * i) for i in range(LANES_A_WORD))
-HEX_DIGITS = WORD_BITS // 4
+HEX_DIGITS = -(-WORD_BITS // 4)
 BELOW_ANY_ID = -(2**63)
-FIELDS = EQUAL_LANES + LIKE_WORDS + 1
 
 
 def _field(acc: Column, i: int) -> Column:
@@ -28,18 +26,6 @@ def _zero(n: int) -> Column:
     return F.struct(*[F.lit(0).cast("long").alias(f"f{i}") for i in range(n)])
 
 
-def _run_hashes(paragraph: Column) -> Column:
-    """Hashes of a paragraph's words, ``RUN_WORDS`` at a time from its beginning."""
-    hashes = F.transform(
-        F.array(F.split(paragraph, " ", -1)),
-        lambda words: F.transform(
-            F.sequence(F.lit(0), F.size(words) - 1, F.lit(RUN_WORDS)),
-            lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(RUN_WORDS)]),
-        ),
-    )
-    return hashes[0]
-
-
 def _pair_hashes(paragraph: Column) -> Column:
     """Hashes of each word of a paragraph together with the word after it."""
     hashes = F.transform(
@@ -50,7 +36,7 @@ def _pair_hashes(paragraph: Column) -> Column:
 
 
 def _like_sums(hashes: Column) -> Column:
-    """``LIKE_WORDS`` numbers of three counters each: the sums of the bits of ``hashes``."""
+    """``LIKE_WORDS`` numbers of two counters each: the sums of the bits of ``hashes``."""
     half = LIKE_WORDS // 2
     like = F.aggregate(
         F.transform(hashes, lambda h: F.struct(h.alias("a"), F.xxhash64(h).alias("b"))),
@@ -75,30 +61,20 @@ def _paragraphs(text: Column | str) -> Column:
     return F.split(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), "\n", -1)
 
 
-def likeness_vector(text: Column | str) -> Column:
-    """``LIKE_WORDS`` numbers of bit sums over all pairs of neighbouring words, and the number of pairs.
-
-    A word put in or taken out changes the pairs it is in and no others, unlike the runs of
-    :func:`paragraph_vector`, which are counted from the beginning of the paragraph.  It is a sum over
-    the paragraphs too.
-    """
-    pairs = F.flatten(F.transform(_paragraphs(text), _pair_hashes))
-    return F.transform(
-        F.array(pairs), lambda hashes: F.concat(_like_sums(hashes), F.array(F.size(hashes).cast("long")))
-    )[0]
-
-
 def paragraph_vector(text: Column | str) -> Column:
-    """The fingerprint of ``text`` as an array of 48-bit numbers.
+    """The fingerprint of ``text`` as an array of 62-bit numbers.
 
     It is the sum over the paragraphs (lines) of a vector hashed from each paragraph alone, so the
     order of paragraphs does not matter, and paragraphs can be put in or taken out later:
 
-    * ``EQUAL_LANES`` numbers, each a 48-bit hash of the paragraph, summed modulo 2**48: equal
-      multisets of paragraphs have equal sums, and others differ but for a chance of about 2**-384;
-    * ``LIKE_WORDS`` numbers of three counters modulo 2**16 each: one hash bit of each run of
-      three words of the paragraph, counted from its beginning;
-    * the number of runs modulo 2**48.
+    * ``EQUAL_LANES`` numbers, each a 62-bit hash of the paragraph, summed modulo 2**62: equal
+      multisets of paragraphs have equal sums, and others differ but for a chance of about 2**-496;
+    * ``LIKE_WORDS`` numbers of two counters modulo 2**31 each: one hash bit of each pair of
+      neighbouring words of the paragraph (the last word is a pair with nothing);
+    * the number of pairs.
+
+    A word put in or taken out changes the pairs it is in and no others.  Counters hold texts of up to 2**30
+    words, which is more than one value of a column can have.
     """
     paragraphs = _paragraphs(text)
     digests = F.transform(paragraphs, lambda p: F.sha2(p, 256))
@@ -114,14 +90,10 @@ def paragraph_vector(text: Column | str) -> Column:
             ]
         ),
     )
-    runs = F.flatten(F.transform(paragraphs, _run_hashes))
-    return F.flatten(
-        F.array(
-            F.transform(F.array(equal), lambda e: F.array(*[_field(e, i) for i in range(EQUAL_LANES)]))[0],
-            _like_sums(runs),
-            F.array(F.size(runs).cast("long")),
-        )
-    )
+    pairs = F.flatten(F.transform(paragraphs, _pair_hashes))
+    lanes = F.transform(F.array(equal), lambda e: F.array(*[_field(e, i) for i in range(EQUAL_LANES)]))[0]
+    like = F.transform(F.array(pairs), lambda h: F.concat(_like_sums(h), F.array(F.size(h).cast("long"))))[0]
+    return F.concat(lanes, like)
 
 
 def add_fingerprints(a: Column | str, b: Column | str) -> Column:
@@ -135,17 +107,17 @@ def subtract_fingerprints(a: Column | str, b: Column | str) -> Column:
 
 
 def fingerprint_text(vector: Column | str) -> Column:
-    """The vector as lower-case hexadecimal, twelve digits a number."""
+    """The vector as lower-case hexadecimal, sixteen digits a number."""
     return F.lower(F.array_join(F.transform(vector, lambda v: F.lpad(F.hex(v), HEX_DIGITS, "0")), ""))
 
 
 def signs(vector: Column | str) -> Column:
-    """Signed sums of the lanes of a likeness vector: twice the count less the number of pairs, centred modulo 2**16."""
+    """Signed sums of the counters of a fingerprint: twice the count less the number of pairs, centred modulo 2**31."""
     col = F.col(vector) if isinstance(vector, str) else vector
-    n, top = F.element_at(col, LIKE_WORDS + 1), 1 << LANE_BITS
+    n, top = F.element_at(col, EQUAL_LANES + LIKE_WORDS + 1), 1 << LANE_BITS
     lanes = F.flatten(
         F.transform(
-            F.slice(col, 1, LIKE_WORDS),
+            F.slice(col, EQUAL_LANES + 1, LIKE_WORDS),
             lambda v: F.array(
                 *[F.shiftright(v, LANE_BITS * i).bitwiseAND(F.lit(top - 1)) for i in range(LANES_A_WORD)]
             ),
@@ -155,13 +127,13 @@ def signs(vector: Column | str) -> Column:
 
 
 def likeness(a: Column | str, b: Column | str, a_signs: Column | str, b_signs: Column | str) -> Column:
-    """Estimated cosine of the word pairs of two texts, from their likeness vectors alone: 1 for equal
-    vectors, 0 where one of them has no signs or the estimate is below 0."""
+    """Estimated cosine of the word pairs of two texts, from their fingerprints alone: 1 for equal
+    ones, 0 where one of them has no signs or the estimate is below 0."""
 
     def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0).cast("long"), lambda s, v: s + v)
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
 
-    norm = F.sqrt(dot(a_signs, a_signs).cast("double") * dot(b_signs, b_signs))
+    norm = F.sqrt(dot(a_signs, a_signs) * dot(b_signs, b_signs))
     cosine = F.when(norm > 0, dot(a_signs, b_signs) / norm).otherwise(0.0)
     same = (F.col(a) if isinstance(a, str) else a) == (F.col(b) if isinstance(b, str) else b)
     return F.when(same, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), cosine)))
@@ -204,7 +176,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Edited text: the last floor(n/2) code points are replaced by the first as many (or all) of the next
     document by id, and after the last id by those of the first.  Texts go through one shuffle by id,
     and the kept first halves through a second one to the next document, which meets them there.  The
-    likeness vector of a document is computed once, before the first shuffle, and moves with its text.
+    fingerprint of a document is computed once, before the first shuffle, and moves with its text; likeness is
+    read from the fingerprints alone.
 
     Null text counts as empty.  Rows that share an id are each reported; all have the same next id, and
     of rows that share the next id the smallest text is taken.  A null id comes first, as the smallest
@@ -215,39 +188,36 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.coalesce(F.col(id_col), F.lit(BELOW_ANY_ID)).alias("id"),
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        likeness_vector(text_col).alias("like"),
+        paragraph_vector(text_col).alias("vector"),
     ).repartition("id")
     links = cut(next_ids(docs.select(F.coalesce(F.col(id_col), F.lit(BELOW_ANY_ID)).alias("id"))), "links")
     own = (
         by_id.join(links, "id")
         .withColumn("n_chars", F.length("text").cast("long"))
         .select(
-            "doc_id", F.col("next_id").alias("id"), "n_chars", paragraph_vector("text").alias("vector"), "like",
+            "doc_id", F.col("next_id").alias("id"), "n_chars", "vector",
             F.expr("substr(text, 1, cast(n_chars - floor(n_chars / 2) as int))").alias("first_half"),
         )
     )
     # a struct with doc_id too, which is not pruned, so that both sides read one and the same exchange
-    least = by_id.groupBy("id").agg(F.min(F.struct("text", "doc_id", "like")).alias("least"))
-    following = least.select("id", F.col("least.text").alias("text"), F.col("least.like").alias("next_like"))
+    least = by_id.groupBy("id").agg(F.min(F.struct("text", "doc_id", "vector")).alias("least"))
+    following = least.select("id", F.col("least.text").alias("text"), F.col("least.vector").alias("next_vector"))
     both = own.join(following, "id").select(
-        "doc_id", "n_chars", "vector", "like", "next_like",
+        "doc_id", "n_chars", "vector", "next_vector",
         F.concat("first_half", F.expr("substr(text, 1, cast(floor(n_chars / 2) as int))")).alias("edited"),
     )
     vectors = both.select(
-        "doc_id", "n_chars", "vector", "like", "next_like",
+        "doc_id", "n_chars", "vector", "next_vector",
         F.sha2("edited", 256).alias("edited_sha256"),
         paragraph_vector("edited").alias("edited_vector"),
-        likeness_vector("edited").alias("edited_like"),
-    )
-    signed = vectors.select(
-        "*", *[signs(v).alias(f"{v}_signs") for v in ("like", "edited_like", "next_like")]
     )
+    signed = vectors.select("*", *[signs(f"{v}vector").alias(f"{v}signs") for v in ("", "edited_", "next_")])
     return signed.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         fingerprint_text("vector").alias("fingerprint"),
         fingerprint_text("edited_vector").alias("edited_fingerprint"),
-        likeness("like", "edited_like", "like_signs", "edited_like_signs").alias("near_edited"),
-        likeness("like", "next_like", "like_signs", "next_like_signs").alias("near_next"),
+        likeness("vector", "edited_vector", "signs", "edited_signs").alias("near_edited"),
+        likeness("vector", "next_vector", "signs", "next_signs").alias("near_next"),
     )
