@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orthoflow.llm.common import fresh
 
 ROUNDS = 8
+KEY_SETTING = "orthoflow.pseudonyms.key"
 KEY = "change-me"
 # What is looked for.  Each form begins where no longer token of its signs goes on.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
@@ -31,6 +32,7 @@ FORMS = [
 ANY_FORM = "|".join(f"(?:{p})" for _, p in FORMS)
 DATE_FORMATS = {"iso_date": "yyyy-MM-dd", "slash_date": "MM/dd/yyyy", "dot_date": "dd.MM.yyyy"}
 FIRST_DAY, DAYS, DAY_PARTS = -62091, 146097, (189, 773)
+AREAS, GROUPS, SERIALS, NO_AREA = 898, 99, 9_999, 666
 
 
 def _let(value: Column, body) -> Column:
@@ -114,6 +116,21 @@ def iban_remainder(iban: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), add)
 
 
+def _social(value: Column, key: str) -> Column:
+    """A permutation of all valid numbers: areas 001-899 but 666, groups 01-99, serials 0001-9999."""
+    part = lambda at, n: F.substr(value, F.lit(at), F.lit(n)).try_cast("long")
+    area = part(1, 3) - F.when(part(1, 3) > NO_AREA, 2).otherwise(1)
+    number = (area * GROUPS + part(5, 2) - 1) * SERIALS + part(8, 4) - 1
+
+    def written(x: Column) -> Column:
+        area = F.floor(x / (GROUPS * SERIALS)).cast("long") + 1
+        area = area + F.when(area >= NO_AREA, 1).otherwise(0)
+        group, serial = F.floor(x / SERIALS).cast("long") % GROUPS + 1, x % SERIALS + 1
+        return F.concat_ws("-", *[F.lpad(v.cast("string"), n, "0") for v, n in ((area, 3), (group, 2), (serial, 4))])
+
+    return _let(permute_number(number, (AREAS * GROUPS, SERIALS), key, "social"), written)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -161,7 +178,7 @@ def pseudonym(kind: Column, value: Column, key: str = KEY) -> Column:
         "email": F.concat(permute_text(email_name, key, "email"), F.regexp_extract(value, r"\.[A-Za-z]+$", 0)),
         "ip": _ip(value, key),
         "iban": _iban(value, key),
-        "social": permute_text(value, key, "social"),
+        "social": _social(value, key),
         "phone": F.concat(country, permute_text(F.substr(value, F.length(country) + 1), key, "phone")),
         "card": _card(value, key),
         **{k: _date(value, k, key) for k in DATE_FORMATS},
@@ -186,7 +203,7 @@ def pseudonymize(
     validated (octets, calendar, check digits) and permuted within their format by a Feistel network
     under ``key``: the same value has the same pseudonym in all documents, different values have
     different ones, and whoever has the key can go back.  Card numbers and IBANs get valid check digits
-    again; numbers with wrong check digits and impossible dates are no personal values and stay.
+    again, and a social security number becomes another valid one; numbers with wrong check digits and impossible dates are no personal values and stay.
 
     All is done in the row, by column expressions: nothing is shuffled, and texts without digit or ``@``
     are not searched.  Null text stays null and has no values; texts are read whole.  Repeated rows are
