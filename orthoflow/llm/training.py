@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from orthoflow.session import cut
 
 
+LONG_SHARE = 20
+
+
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """Whether the crc32 of the id as text leaves ``remainder``; a null id counts as empty text."""
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -30,8 +33,9 @@ def labelled_sample(
     """Texts with their label 0 or 1 for fitting, and how many usable labels of each value there are.
 
     The bounds are ``rows`` documents and ``chars`` characters of each label; within them the sample is
-    taken in the order of a hash of the id, so it does not depend on how the tables are split.  The
-    counts are of all labels.  Only ids of the sample are broadcast, and texts are not shuffled.
+    taken in the order of a hash of the id, so it does not depend on how the tables are split.  Texts that
+    alone have more than a ``LONG_SHARE``-th of the characters come last, the shortest first, so that they leave no other
+    text out.  The counts are of all labels.  Only ids of the sample are broadcast, and texts are not shuffled.
     """
     given = labels.where(usable & F.col(label).isin(0, 1)).select(
         F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"), F.xxhash64(id_col).alias("at")
@@ -42,8 +46,10 @@ def labelled_sample(
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     stored = cut(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
-    before = Window.partitionBy("label").orderBy("at", "doc_id", F.md5("text")).rowsBetween(Window.unboundedPreceding, 0)
-    sized = stored.select("*", F.sum(F.length("text")).over(before).alias("used"), F.count(F.lit(1)).over(before).alias("n"))
+    size = F.length("text")
+    long = F.when(size > chars / LONG_SHARE, size).otherwise(0)
+    before = Window.partitionBy("label").orderBy(long, "at", "doc_id", F.md5("text")).rowsBetween(Window.unboundedPreceding, 0)
+    sized = stored.select("*", F.sum(size).over(before).alias("used"), F.count(F.lit(1)).over(before).alias("n"))
     kept = sized.where((F.col("used") <= chars) & (F.col("n") <= rows)).orderBy("label", "at", "doc_id", "n")
     return [(r["text"], r["label"]) for r in kept.select("text", "label").collect()], counts
 
