@@ -112,16 +112,24 @@ def bucket(word: Column) -> Column:
 
 def fit_vocabulary(docs: DataFrame, usable: Column, text_col: str = "text", limit: int = TOP_WORDS) -> Vocabulary:
     """Counts over the ``usable`` rows of ``docs``, without a bound; at most ``limit`` words and
-    ``BUCKETS`` sums come to the driver."""
+    ``BUCKETS`` sums come to the driver.
+
+    Frequent words are those of at least a count that at most ``limit`` words have, found from how many
+    words there are per sixteenth of an octave of counts; so no task sends words that are not among them.
+    """
     training = docs.where(usable).select(binary_text(text_col).alias("text"))
     counts = cut(count_words(training), "words")
     ends = training.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(limit).collect()
+    steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("n")).collect()
+    many, least = 0, None
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        many += r["v"]
+        if many > limit:
+            break
+        least = r["n"]
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect() if least else []
     words = tuple(bytes(r["word"]) for r in top)
-    rest = counts
-    if top:
-        last, n = F.lit(bytearray(words[-1])), F.lit(top[-1]["n"])
-        rest = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > last)))
+    rest = counts.where(F.col("n") < least) if least else counts
     sums = rest.groupBy(bucket(F.col("word")).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     bucket_n, bucket_v = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums:
