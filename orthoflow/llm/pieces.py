@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
@@ -256,6 +258,10 @@ class SharedPrefixEncoder:
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the distinct marked words that are not known yet are encoded together."""
+        with no_cycle_search():
+            return self._encode_texts(texts)
+
+    def _encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         split = [MARKED_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         known = self.encoded
         words = set(chain.from_iterable(split))
@@ -300,6 +306,19 @@ def text_blocks(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
         yield block
 
 
+@contextlib.contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """Python's search for cycles is off inside: states and ids have none, and it would look at all of them again
+    and again as they grow in number."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode(docs: DataFrame, model_file: str = MODEL_FILE, text_col: str = "text") -> Column:
     """Ids of the text column, as an array column for ``docs``."""
     name = share_model(docs.sparkSession, model_file)
