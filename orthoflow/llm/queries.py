@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ def op6_fingerprints(spark, sf_dir):
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-# The rules of the check, and the site names whose pages make up the list of this query.
+# The rules of the check, and how few paragraphs a page has that is worth nothing.
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -94,7 +95,7 @@ URL_RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-JUNK_SITES = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+PARAGRAPH, THIN = "<p>", 2
 
 
 @query(
@@ -116,8 +117,8 @@ JUNK_SITES = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"
         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical
       FROM parts),
     listed AS (
-      SELECT DISTINCT canonical FROM spelled
-      WHERE regexp_matches(host, '(^|\.)(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.')),
+      SELECT DISTINCT canonical FROM spelled JOIN (SELECT page_id, html FROM pages) USING (page_id)
+      WHERE length(html) - length(replace(html, '<p>', '')) <= 2 * length('<p>')),
     ruled AS (
       SELECT *, CASE
         WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1')
@@ -137,16 +138,19 @@ JUNK_SITES = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"
     """
 )
 def op8_url_filter(spark, sf_dir):
+    """The list has the pages whose content is two paragraphs or less; the other spellings of their urls are
+    caught by it, whatever these look like and whatever was found there."""
     pages = table(spark, sf_dir, "pages")
-    host = url_filter.url_host(F.col("url"))
-    listed = pages.where(host.rlike(rf"(^|\.)({'|'.join(JUNK_SITES)})\.")).select("url")
+    without = F.length(F.replace("html", F.lit(PARAGRAPH), F.lit("")))
+    listed = pages.where(F.length("html") - without <= THIN * len(PARAGRAPH)).select("url")
     return url_filter.url_filter(pages, listed, URL_RULES)
 
 
 @query()
 def op3_pseudonyms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonyms.pseudonymize(docs).select("doc_id", "text", F.size("pseudonyms").alias("n_values"), "pseudonyms")
+    key = spark.conf.get(pseudonyms.KEY_SETTING, pseudonyms.KEY)
+    return pseudonyms.pseudonymize(docs, key).select("doc_id", "text", F.size("pseudonyms").alias("n_values"), "pseudonyms")
 
 
 @query(
@@ -196,8 +200,15 @@ def op9_mixing(spark, sf_dir):
     return mixed.select("doc_id", "source", "block", "order_key")
 
 
+# SQL of the parts of a line of n words (w) after its leading words, and of all choices of parts that may not be left out.
+LINE_PARTS = "[" + ", ".join(
+    f"array_to_string(w[(n - 4) * {j} // {line_dedup.PARTS} + 5 : (n - 4) * {j + 1} // {line_dedup.PARTS} + 4], ' ')" for j in range(line_dedup.PARTS)
+) + "]"
+KEPT_PARTS = [list(c) for c in combinations(range(1, line_dedup.PARTS + 1), line_dedup.PARTS - line_dedup.LEFT_OUT)]
+
+
 @query(
-    r"""
+    rf"""
     WITH lines AS (
       SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line
       FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
@@ -222,9 +233,22 @@ def op9_mixing(spark, sf_dir):
         + CASE WHEN min(s[3]) <> max(s[3]) THEN max(c[3]) ELSE 0 END
         + CASE WHEN min(s[4]) <> max(s[4]) THEN max(c[4]) ELSE 0 END AS variable
       FROM paths GROUP BY level, n, key HAVING min(doc_id) < max(doc_id)),
+    passages AS (
+      SELECT n, w, array_to_string(w[1:4], ' ') AS node, array_to_string(w, ' ') AS line, min(doc_id) AS own, {LINE_PARTS} AS parts
+      FROM nodes WHERE level = 0 GROUP BY n, w),
+    choices AS (SELECT unnest(range({len(KEPT_PARTS)})) AS choice, unnest({KEPT_PARTS}) AS kept),
+    kept AS (
+      SELECT n, line, own, node, choice, list_transform(kept, lambda j: parts[j]) AS rest FROM passages, choices),
+    shared AS (
+      SELECT n, node, choice, rest, min(own) AS first FROM kept GROUP BY n, node, choice, rest HAVING count(*) > 1),
+    near AS (
+      SELECT n, line, min(first) AS first FROM kept JOIN shared USING (n, node, choice, rest) GROUP BY n, line),
     judged AS (
-      SELECT doc_id, pos, arg_min(first < doc_id, level) AS go
-      FROM paths JOIN (SELECT * FROM found WHERE n - variable >= 0.6 * n) USING (level, n, key) GROUP BY doc_id, pos),
+      SELECT doc_id, pos, bool_or(first < doc_id) AS go FROM (
+        SELECT doc_id, pos, first FROM paths JOIN (SELECT * FROM found WHERE n - variable >= 0.6 * n) USING (level, n, key)
+        UNION ALL
+        SELECT doc_id, pos, first FROM paths JOIN near ON level = 2 AND paths.n = near.n AND key = line)
+      GROUP BY doc_id, pos),
     gone AS (SELECT doc_id, list_sort(list(pos::INTEGER)) AS dropped FROM judged WHERE go GROUP BY doc_id),
     texts AS (
       SELECT doc_id, coalesce(dropped, []::INTEGER[]) AS dropped, string_split(text, chr(10)) AS ls
@@ -238,8 +262,7 @@ def op9_mixing(spark, sf_dir):
 )
 def op10_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n"))
-    # one template a node, as the SQL has it; the pipeline compares the lines of a node with each other too
-    done = line_dedup.line_dedup(docs, dropped_col="lines", passages=False)
+    done = line_dedup.line_dedup(docs, dropped_col="lines")
     return done.select(
         "doc_id",
         F.col("n").cast("long").alias("n_lines"),

@@ -28,7 +28,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_a_query_per_operator():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 def auc(scores, labels):
@@ -55,16 +55,16 @@ def brute_vector(text: str) -> list[int]:
     import hashlib
     import struct
 
-    mask, low = (1 << 48) - 1, sum(1 << (16 * i) for i in range(3))
+    mask, low = (1 << 62) - 1, 1 | 1 << 31
     equal, like, n = [0] * 8, [0] * 32, 0
     for p in text.split("\n"):
         digest = hashlib.sha256(p.encode()).hexdigest().encode()
         for i in range(8):
             equal[i] = (equal[i] + (xx(struct.pack("<i", i), xx(digest)) & mask)) & mask
         words = p.split(" ")
-        for i in range(0, len(words), 3):
+        for i in range(len(words)):
             h = 42
-            for w in words[i : i + 3]:
+            for w in words[i : i + 2]:
                 h = xx(w.encode(), h)
             g, n = xx(struct.pack("<Q", h)), n + 1
             for j in range(32):
@@ -74,11 +74,22 @@ def brute_vector(text: str) -> list[int]:
     return equal + [v & mask for v in like] + [n]
 
 
+def brute_likeness(a: list[int], b: list[int]) -> float:
+    """Cosine of the signed counters of two fingerprints, by their numbers alone."""
+
+    def signed(v):
+        return [2 * (x >> s & (1 << 31) - 1) - v[-1] for x in v[8:-1] for s in (0, 31)]
+
+    x, y = signed(a), signed(b)
+    norm = sum(p * p for p in x) * sum(q * q for q in y)
+    return 1.0 if a == b else min(1.0, max(0.0, sum(p * q for p, q in zip(x, y)) / norm**0.5)) if norm else 0.0
+
+
 def test_fingerprint_is_the_sum_over_paragraphs(spark):
     texts = ["", "a", "a b c d\ne f\n\ng", "ñandú ß " * 200, "x\n" * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in fingerprint.fingerprints(df).collect():
-        assert r.vector == brute_vector(r.text) and r.fingerprint == "".join(f"{v:012x}" for v in r.vector)
+        assert r.vector == brute_vector(r.text) and r.fingerprint == "".join(f"{v:016x}" for v in r.vector)
 
 
 def test_paragraphs_in_any_order_put_in_and_taken_out(spark):
@@ -98,7 +109,10 @@ def test_edited_texts_and_their_likeness(spark):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(text)
-        assert got[i].edited_fingerprint == "".join(f"{v:012x}" for v in brute_vector(edited))
+        assert got[i].edited_fingerprint == "".join(f"{v:016x}" for v in brute_vector(edited))
+        mine = brute_vector(text)
+        assert abs(got[i].near_edited - brute_likeness(mine, brute_vector(edited))) < 1e-9
+        assert abs(got[i].near_next - brute_likeness(mine, brute_vector(after))) < 1e-9
     long = [got[i] for i, t in docs if len(t) > 300]
     assert sum(r.near_edited > r.near_next for r in long) >= 0.97 * len(long)
 
