@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 FREQUENT_KEYS = 256
 TRACKED_KEYS = 2048
 SKETCH_GROUPS = 64
+HOT_ROWS = 200
+PLAN_CHARS = 1 << 14
 BROADCAST_BYTES = 32 << 20
 BATCH_ROWS = 1_000
 
@@ -32,6 +34,7 @@ def frequent_hashes(rows: DataFrame, key: Column, k: int = FREQUENT_KEYS, tracke
     counters.  Each of ``SKETCH_GROUPS`` groups of tasks has one; the ``k`` largest counts of each are
     added up, so that no task reads a summary per task.  A key with more than about 1/``k`` of the rows
     has this share in some group and is found.  ``k`` numbers come to the driver, at any input size.
+    Keys of fewer than ``HOT_ROWS`` rows are none.
     """
     groups = (
         rows.select(F.xxhash64(key).alias("h"), F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
@@ -39,7 +42,7 @@ def frequent_hashes(rows: DataFrame, key: Column, k: int = FREQUENT_KEYS, tracke
         .agg(F.expr(f"approx_top_k(h, {k}, {tracked})").alias("top"))
     )
     counts = groups.select(F.explode("top").alias("t")).groupBy("t.item").agg(F.sum("t.count").alias("n"))
-    return [r["item"] for r in counts.orderBy(F.desc("n"), "item").limit(k).collect()]
+    return [r["item"] for r in counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "item").limit(k).collect()]
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -51,7 +54,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left"
     """
     (h,) = fresh(rows.columns + table.columns, "h")
     hot = frequent_hashes(rows, F.struct(*keys))
-    frequent = F.xxhash64(F.struct(*keys)).isin(hot) if hot else F.lit(False)
+    if not hot:
+        return rows.join(table, keys, how)
+    frequent = F.xxhash64(F.struct(*keys)).isin(hot)
     marked = rows.withColumn(h, frequent)
     few = table.where(frequent)
     heavy = marked.where(h).join(F.broadcast(few), keys, how)
@@ -60,12 +65,14 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left"
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Arrow batches have ``rows`` rows at most, in this session.
+    """Let Arrow batches have ``rows`` rows at most, and plans that are kept as text ``PLAN_CHARS``, in this session.
 
     A batch is held by the JVM and by Python, and whole documents are long rows: Spark's default of
-    10,000 of them takes hundreds of MB in each task.
+    10,000 of them takes hundreds of MB in each task.  The driver keeps the text of the plans of the last
+    1,000 queries, and of each change of them; without a bound that is hundreds of MB for a long pipeline.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
 
 
 def fits_broadcast(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
