@@ -8,7 +8,7 @@ from orthoflow.operators import marking as M
 from orthoflow.operators import verdicts as D
 from orthoflow.operators.tokens import document_vocabulary, running_ends, token_offsets
 from orthoflow.plans import review as Q
-from orthoflow.session import spread_lookup
+from orthoflow.session import cut, spread_lookup
 from orthoflow.sources import units as U
 
 DOCS = "doc_id long, lang string, text string"
@@ -77,6 +77,15 @@ def test_near_candidates_equal_brute_force(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_keys_of_candidates_are_never_sent_out(spark):
+    """A small stored lexicon has some fifty keys per word; a broadcast of them takes the driver's memory."""
+    entries = cut(J.suggestion_entries(lexicon(spark, "revision", "palabra")), "entries")
+    folds = cut(spark.createDataFrame([("es", "revisoin")], "lang string, fold string"), "folds")
+    pairs = J.candidate_pairs(folds, entries)
+    assert {r.word for r in pairs.where("dist >= 0").collect()} == {"revision"}
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spread_lookup_equals_join(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"w{i}") for i in range(300)], "doc_id long, token string")
     table = rows.groupBy("token").agg(F.count("*").alias("n")).withColumn("v", F.length("token"))
