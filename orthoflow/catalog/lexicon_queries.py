@@ -62,7 +62,7 @@ def read_wordlist(spark, sf):
   SELECT pkg, word, flags, {diacritic('word')} AS has_diacritic FROM w""")
 def parse_lexicon_lines(spark, sf):
     flagged = F.when(F.length("word") % 2 == 0, F.concat("word", F.lit("/GS"))).otherwise(F.col("word"))
-    words = vocabulary_words(spark, sf).select("pkg", flagged.alias("line"))
+    words = cut(vocabulary_words(spark, sf), "vocabulary").select("pkg", flagged.alias("line"))
     counts = words.groupBy("pkg").agg(F.count("*").cast("string").alias("line"))
     return S.parse_lexicon_lines(words.unionByName(counts))
 
@@ -120,9 +120,13 @@ IS_MASKED = f"""(NOT {diacritic('c.word')} AND (EXISTS (SELECT 1 FROM keys k WHE
 MARKED = f"{TOK}, {CASED}, {MASKED_KEYS}, {REFKEYS}, c0 AS (SELECT c.*, {IS_MASKED} AS masked FROM cased c)"
 
 
+def spanish(words):
+    """The Spanish words of ``words`` as the base lexicon of the filter."""
+    return words.where("pkg = 'es'").select("word")
+
+
 def reference(spark, sf):
-    """The Spanish words of the documents as the base lexicon of the filter."""
-    return cased_words(spark, sf).where("pkg = 'es'").select("word")
+    return spanish(cased_words(spark, sf))
 
 
 @query(f"WITH {TOK}, {CASED}, {MASKED_KEYS} SELECT pkg, fold FROM keys")
@@ -300,7 +304,7 @@ PLURAL_ALL = " UNION ".join(f"SELECT '{r}' AS rule, pkg, {x} AS plural FROM case
 
 @query(f"WITH {TOK}, {CASED} {PLURAL_ALL}")
 def plurals(spark, sf):
-    words = cased_words(spark, sf)
+    words = stored_words(spark, sf)
     out = None
     for rule in PLURAL_SQL:
         part = L.plurals(words, rule).select(F.lit(rule).alias("rule"), "pkg", F.col("word").alias("plural"))
@@ -396,16 +400,20 @@ bag2 AS (SELECT * FROM bag1 UNION SELECT * FROM pl WHERE word IS NOT NULL AND {v
 {_filtered('bag2', 'k1')}, bag3 AS (SELECT * FROM k1 UNION SELECT 'es', word FROM bench), {_filtered('bag3', 'k2')}"""
 
 
+def denied_of(words):
+    """The denied words among ``words``."""
+    low = F.lower("word")
+    return words.where(low.isin(*DENIED)).select(low.alias("word")).distinct()
+
+
 def denied(spark, sf):
-    return all_tokens(spark, sf).where(F.col("key").isin(*DENIED)).select(F.col("key").alias("word")).distinct()
+    return denied_of(cased_words(spark, sf))
 
 
 @query(f"WITH {BUILD} SELECT pkg, word FROM k2")
 def build_package(spark, sf):
-    seeds = benchmark_words(spark, sf).select(F.lit("es").alias("pkg"), "word")
-    return G.build_package(
-        cased_words(spark, sf), denied(spark, sf), TITLES, "general", seeds, reference(spark, sf)
-    )
+    seeds, words = benchmark_words(spark, sf).select(F.lit("es").alias("pkg"), "word"), stored_words(spark, sf)
+    return G.build_package(words, denied_of(words), TITLES, "general", seeds, spanish(words))
 
 
 EXPAND = f"""{REF}, {LEX}, {BENCH}, seeds AS (SELECT 'en' AS pkg, word FROM bench WHERE {valid('word')}),
@@ -423,17 +431,17 @@ e1 AS (SELECT DISTINCT pkg, word FROM g0 WHERE {valid('word')} AND lower(word) N
 @query(f"WITH {EXPAND} SELECT pkg, word FROM xk")
 def expand_package(spark, sf):
     roots = lexicon(spark, sf).select(F.col("lang").alias("pkg"), "word")
-    bench = cut(benchmark_words(spark, sf), "bench")
+    bench, words = cut(benchmark_words(spark, sf), "bench"), stored_words(spark, sf)
     return G.expand_package(
         seeds=bench.where(T_valid("word")).select(F.lit("en").alias("pkg"), "word"),
         roots=roots,
-        harvested=L.harvest(cased_words(spark, sf), MARKERS),
-        reference=reference(spark, sf),
+        harvested=L.harvest(words, MARKERS),
+        reference=spanish(words),
         suffixes=ROOT_SUFFIXES,
         prefixes=ROOT_PREFIXES,
         bases=roots,
         keep=bench.select(F.lit("es").alias("pkg"), "word"),
-        denied=denied(spark, sf),
+        denied=denied_of(words),
     )
 
 
@@ -472,5 +480,5 @@ PACKAGES = ",\n".join(
 
 @query(f"WITH {REF}, {BENCH}, {PACKAGES} " + " UNION ALL ".join(f"SELECT pkg, word FROM {p}done" for p in PACKAGE_RULES))
 def build_packages(spark, sf):
-    seeds = benchmark_words(spark, sf).select(F.lit("es").alias("pkg"), "word")
-    return G.build_packages(cased_words(spark, sf), PACKAGE_RULES, denied(spark, sf), seeds, reference(spark, sf))
+    seeds, words = benchmark_words(spark, sf).select(F.lit("es").alias("pkg"), "word"), stored_words(spark, sf)
+    return G.build_packages(words, PACKAGE_RULES, denied_of(words), seeds, spanish(words))

@@ -265,7 +265,8 @@ f2 AS (SELECT * FROM f1 UNION SELECT * FROM fp WHERE word IS NOT NULL AND {valid
 def package_feedback(spark, sf):
     """Packages after three rounds of decisions, of which each changes only what its words can change."""
     bench = cut(benchmark_words(spark, sf), "bench")
-    seeds, reference = bench.select(F.lit("es").alias("pkg"), "word"), cut(LQ.reference(spark, sf), "reference")
+    cased = stored_words(spark, sf)
+    seeds, reference = bench.select(F.lit("es").alias("pkg"), "word"), LQ.spanish(cased)
     packages = B.MaintainedPackages(
         spark,
         new_folder(spark, "packages"),
@@ -274,7 +275,7 @@ def package_feedback(spark, sf):
         BUCKET_ROWS,
     )
     languages = F.explode(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])).alias("pkg")
-    packages.start(cut(cased_words(spark, sf), "cased"), LQ.denied(spark, sf).select(languages, "word"))
+    packages.start(cased, LQ.denied_of(cased).select(languages, "word"))
     two = F.explode(F.array(F.lit("es"), F.lit("en"))).alias("pkg")
     for mark in sorted({r for r, *_ in ROUNDS}):
         parts = [

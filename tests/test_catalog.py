@@ -28,3 +28,10 @@ def test_every_query_is_callable_and_sql_belongs_to_a_query():
 @pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, con, name):
     assert compare(QUERIES[name](spark, SF), con, SQL[name]) == ""
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", ["plurals", "parse_lexicon_lines"])
+def test_words_are_stored_before_they_are_read_again(spark, name):
+    """What is built of words used several times does not read and split all texts each time."""
+    assert "text#" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
