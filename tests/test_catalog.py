@@ -35,3 +35,10 @@ def test_same_rows(spark, con, name):
 def test_words_are_stored_before_they_are_read_again(spark, name):
     """What is built of words used several times does not read and split all texts each time."""
     assert "text#" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_paragraphs_are_shuffled_once(spark):
+    """The joined texts stay where their runs were dealt."""
+    plan = QUERIES["paragraphs_from_runs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
