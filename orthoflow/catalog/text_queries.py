@@ -229,9 +229,9 @@ def match_case(spark, sf):
 def comment_text(spark, sf):
     d = (
         all_tokens(spark, sf)
-        .select("lang", T.fold("token").alias("fold"), "key")
-        .groupBy("lang", "fold")
-        .agg(F.sort_array(F.collect_set("key")).alias("s"))
+        .select("lang", "key").distinct()  # counts of a fixed width are added up before words are collected
+        .groupBy("lang", T.fold("key").alias("fold"))
+        .agg(F.sort_array(F.collect_list("key")).alias("s"))
     )
     return d.select("lang", "fold", T.comment_text(F.col("s")[0], F.slice("s", 2, 100)).alias("comment"))
 

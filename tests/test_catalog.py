@@ -42,3 +42,10 @@ def test_paragraphs_are_shuffled_once(spark):
     """The joined texts stay where their runs were dealt."""
     plan = QUERIES["paragraphs_from_runs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_words_are_distinct_before_they_are_collected(spark):
+    """Rows that are collected are distinct words and not all tokens."""
+    plan = QUERIES["comment_text"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
