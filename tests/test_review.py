@@ -223,3 +223,13 @@ def test_words_over_many_runs_are_left_alone(spark):
     runs = U.runs_from_units(spark.createDataFrame([(1, 0, "x" * 210)], "doc_id long, unit_ix int, text string"), 20)
     got = sorted((r.start_at, r.run_ix, r.cover) for r in M.runs_of_error(spans, runs).collect())
     assert got == [(2, i, "left_alone") for i in range(10)] + [(3, 0, "inside")]
+
+
+def test_runs_are_cut_in_one_pass(spark):
+    texts = ["a😀b\n\r ñc", "é" * 5, "x", "  \x85 y"]
+    units = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, unit_ix int, text string")
+    for size in (1, 3, 7):
+        got = U.runs_from_units(units, size)
+        want = [(i, 0, k, t[k * size : (k + 1) * size]) for i, t in enumerate(texts) for k in range(-(-len(t) // size))]
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert "substr" not in got._jdf.queryExecution().optimizedPlan().toString()
