@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from orthoflow.operators import lookup as J
 from orthoflow.operators import marking as M
 from orthoflow.operators import verdicts as D
-from orthoflow.operators.tokens import document_vocabulary, running_ends, token_offsets
+from orthoflow.operators.tokens import block_of, document_vocabulary, running_ends, token_offsets
 from orthoflow.plans import review as Q
 from orthoflow.session import cut, spread_lookup
 from orthoflow.sources import units as U
@@ -233,3 +233,9 @@ def test_runs_are_cut_in_one_pass(spark):
         want = [(i, 0, k, t[k * size : (k + 1) * size]) for i, t in enumerate(texts) for k in range(-(-len(t) // size))]
         assert sorted(tuple(r) for r in got.collect()) == want
     assert "substr" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_of_running_sums_follow_the_length(spark):
+    sizes = spark.createDataFrame([(n,) for n in (0, 1, 4, 300, 3000, 20_000)], "n int")
+    got = [r.b for r in sizes.select(block_of(F.col("n")).alias("b")).collect()]
+    assert got == [0, 2, 2, 9, 19, 35]
