@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from orthoflow.catalog import QUERIES, inputs
 from orthoflow.operators import lookup as J
 from orthoflow.operators import marking as M
 from orthoflow.operators import verdicts as D
@@ -86,6 +87,27 @@ def test_keys_of_candidates_are_never_sent_out(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_are_found_at_few_of_their_keys(spark):
+    """Two words that share all their forms are one pair of distance 0, not one per form."""
+    entries = J.suggestion_entries(lexicon(spark, "palabra", "palabras"))
+    folds = spark.createDataFrame([("es", "palabra"), ("es", "palabr")], "lang string, fold string")
+    near = J.candidate_pairs(folds, entries).where("dist >= 0").groupBy("fold", "word", "dist").count()
+    rows = {(r.fold, r.word, r.dist): r["count"] for r in near.collect()}
+    assert set(rows) == {("palabra", "palabra", 0), ("palabra", "palabras", 1), ("palabr", "palabra", 1), ("palabr", "palabras", 2)}
+    assert max(rows.values()) == 1
+
+
+def test_unknown_words_are_looked_up_once_each(spark, tmp_path):
+    """The lexicon meets distinct words, not the words of each document, and what is found is stored for its readers."""
+    texts = [(i, "es", "fr", "casacion casación palabra") for i in range(5)]
+    spark.createDataFrame(texts, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = inputs.unknown_tokens(spark, str(tmp_path))
+    assert [tuple(r) for r in tokens.collect()] == []
+    assert "documents.parquet" not in "".join(tokens.inputFiles())
+    near = QUERIES["near_candidates"](spark, str(tmp_path))
+    assert "text#" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_spread_lookup_equals_join(spark):
     rows = spark.createDataFrame([(i, "hot" if i % 3 else f"w{i}") for i in range(300)], "doc_id long, token string")
     table = rows.groupBy("token").agg(F.count("*").alias("n")).withColumn("v", F.length("token"))
