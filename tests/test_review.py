@@ -148,6 +148,18 @@ def test_corrections(spark):
     assert [tuple(r) for r in M.correction_chains(chain).select("original", "then").collect()] == [("a", "c")]
 
 
+def test_corrections_outside_chains_leave_before_the_join(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), f"w{rng.randrange(40)}", f"w{rng.randrange(400)}") for _ in range(300)] + [(None, "w1", "w2"), (1, "w3", None)]
+    table = cut(spark.createDataFrame(rows, "doc_id long, original string, replacement string"), "corrections")
+    chains = M.correction_chains(table)
+    want = [(d, r, o, t) for d, o, r in rows for e, p, t in rows if d is not None and d == e and r is not None and r == p]
+    assert sorted(map(str, chains.select("doc_id", "replacement", "original", "then").collect())) == sorted(
+        str(r) for r in spark.createDataFrame(want, "doc_id long, replacement string, original string, then string").collect()
+    )
+    assert chains._jdf.queryExecution().optimizedPlan().toString().count("_block") >= 2
+
+
 def test_split_word_over_runs(spark):
     runs = spark.createDataFrame(
         [(1, 0, 0, "La Introducci"), (1, 0, 1, "ó"), (1, 0, 2, "n al")],
