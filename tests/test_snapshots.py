@@ -145,3 +145,21 @@ def test_row_changes_and_publications_are_stored_once(spark, tmp_path):
     results = spark.createDataFrame([(1, True, True, " new ", False), (2, True, False, None, False), (9, True, True, "x", False)], "id long, ok boolean, has_errors boolean, path_rev string, replaced boolean")
     R.store_review_paths(items, results)
     assert rows_of(items) == {(1, "new"), (2, None), (3, "old")} and R.store_review_paths(items, results) is None
+
+
+def test_listing_tasks_do_not_grow_with_buckets(spark, tmp_path):
+    """Folders of buckets are listed in a bounded number of tasks, and the session is left as it was."""
+    table = KeyedTable(spark, str(tmp_path / "many"), ["id"], bucket_rows=10)
+    table.upsert(spark.range(1500).withColumn("v", F.lit(0)))
+    assert len(table.snapshot().buckets) > 100
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None)
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        rows = table.read()
+        tracker = spark.sparkContext.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+        assert sum(tracker.getStageInfo(s).numTasks for s in stages) <= 64
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism", None) == before
+    assert rows.count() == 1500
