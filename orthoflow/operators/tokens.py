@@ -99,10 +99,36 @@ def running_ends(sizes: Column | str) -> Column:
     """Running sums of an array of numbers, in the row.
 
     The array is summed in blocks (:func:`block_of`): appending to an array copies it, so only short ones
-    are grown.
+    are grown.  ``sizes`` is bound to a variable first: written out in the lambda of the blocks, an expression would be
+    evaluated anew for each of them.
     """
     sizes = F.col(sizes) if isinstance(sizes, str) else sizes
-    block = block_of(F.size(sizes))
+    with_block = lambda s: F.struct(s.alias("all"), block_of(F.size(s)).alias("block"))
+    return F.transform(F.transform(F.array(sizes), with_block), _ends_of)[0]
+
+
+def passed(ends: Column | str, heads: Column | str, at: Column) -> Column:
+    """How many of the ascending ``ends``, whose :func:`heads_of` are ``heads``, are at most ``at``: two short searches."""
+    ends, heads = (F.col(c) if isinstance(c, str) else c for c in (ends, heads))
+    step = _step(ends)
+    block = F.size(F.filter(heads, lambda h: h <= at)) - 1
+    inside = F.size(F.filter(F.slice(ends, block * step + 1, step), lambda e: e <= at))
+    return F.when(F.get(heads, F.lit(0)) <= at, block * step + inside).otherwise(0)
+
+
+def _step(ends: Column) -> Column:
+    return F.ceil(F.sqrt(F.size(ends))).cast("int")
+
+
+def heads_of(ends: Column | str) -> Column:
+    """The first of each block of the ascending numbers ``ends``; null for none."""
+    ends = F.col(ends) if isinstance(ends, str) else ends
+    heads = F.transform(F.sequence(F.lit(0), F.size(ends) - 1, _step(ends)), lambda i: F.get(ends, i))
+    return F.when(F.size(ends) > 0, heads)
+
+
+def _ends_of(bound: Column) -> Column:
+    sizes, block = bound["all"], bound["block"]
     grow = lambda acc, x: F.struct(
         (acc["at"] + x).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + x)).alias("ends")
     )

@@ -273,3 +273,26 @@ def test_blocks_of_running_sums_follow_the_length(spark):
     sizes = spark.createDataFrame([(n,) for n in (0, 1, 4, 300, 3000, 20_000)], "n int")
     got = [r.b for r in sizes.select(block_of(F.col("n")).alias("b")).collect()]
     assert got == [0, 2, 2, 9, 19, 35]
+
+
+def test_an_array_of_sizes_is_made_once(spark):
+    """Written out in the lambda of the blocks, it would be made anew for each block of the array."""
+    pieces = spark.createDataFrame([(["a", "bc", ""] * 500,)], "x array<string>")
+    sums = pieces.select(running_ends(F.transform("x", F.length)).alias("e"))
+    assert sums.first().e == list(itertools.accumulate([1, 2, 0] * 500))
+    assert sums._jdf.queryExecution().analyzed().toString().count("length(") == 1
+
+
+def test_marks_are_placed_in_texts_of_many_blocks(spark):
+    rng = random.Random(11)
+    words = ["casa", "l'año", "ñu", "O'Connor", "x", "😀", "d''e", "fin2", "perro"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", ", ", "\n", "'"]) for _ in range(n)) for n in (0, 1, 16, 17, 33, 400)]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    keys = ["casa", "año", "connor", "o'connor", "ñu", "e"]
+    errors = spark.createDataFrame([(i, 0, k, k, []) for i in range(10) for k in keys], ERR)
+    found = M.mark_occurrences(docs, errors).collect()
+    assert len(found) > 200
+    assert all(texts[r.doc_id][r.start_at : r.end_at].lower() == r.key for r in found)
+    marked = {r.doc_id: r.text for r in M.highlight_text(docs, errors).collect()}
+    assert [marked[i].replace("[[", "").replace("]]", "") for i in range(len(texts))] == texts
+    assert marked[9] is None
