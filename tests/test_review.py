@@ -296,3 +296,11 @@ def test_marks_are_placed_in_texts_of_many_blocks(spark):
     marked = {r.doc_id: r.text for r in M.highlight_text(docs, errors).collect()}
     assert [marked[i].replace("[[", "").replace("]]", "") for i in range(len(texts))] == texts
     assert marked[9] is None
+
+
+def test_a_text_is_encoded_once(spark):
+    hits = "hits array<struct<at: int, part: int, start_at: int, end_at: int, new: string>>"
+    rows = spark.createDataFrame([("aé bb cc", [(0, 0, 0, 3, "x"), (4, 0, 4, 6, "yy")])], f"text string, {hits}")
+    out = rows.select(M.splice("text", "hits").alias("t"))
+    assert out.first().t == "x yy cc"
+    assert out._jdf.queryExecution().analyzed().toString().count("encode(") == 1
