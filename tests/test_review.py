@@ -304,3 +304,23 @@ def test_a_text_is_encoded_once(spark):
     out = rows.select(M.splice("text", "hits").alias("t"))
     assert out.first().t == "x yy cc"
     assert out._jdf.queryExecution().analyzed().toString().count("encode(") == 1
+
+
+def test_marks_of_long_decomposed_texts(spark):
+    import unicodedata
+
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["acción", "casacion", "ñandú", "fin"]) for _ in range(300))
+    apart = unicodedata.normalize("NFD", text)
+    docs = spark.createDataFrame([(1, apart), (2, text)], "doc_id long, text string")
+    errors = spark.createDataFrame([(d, 0, k, k, []) for d in (1, 2) for k in ("casacion", "ñandú")], ERR)
+    rows = M.mark_composed(docs, errors)
+    got = {(r.doc_id, r.key, ({1: apart, 2: text}[r.doc_id])[r.start_at : r.end_at], r.blocked) for r in rows.collect()}
+    assert got == {
+        (1, "casacion", "casacion", False), (1, "ñandú", unicodedata.normalize("NFD", "ñandú"), True),
+        (2, "casacion", "casacion", False), (2, "ñandú", "ñandú", False),
+    }
+    assert rows.count() == 2 * sum(w in ("casacion", "ñandú") for w in text.split())
+    # the array of the letters meets a document and not each of its marks
+    marks_side = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in marks_side
