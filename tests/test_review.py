@@ -324,3 +324,25 @@ def test_marks_of_long_decomposed_texts(spark):
     # the array of the letters meets a document and not each of its marks
     marks_side = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" in marks_side
+
+
+def test_runs_of_a_paragraph_are_shuffled_once(spark):
+    rng = random.Random(8)
+    runs, spans, want = [], [], []
+    for p, n in enumerate((1, 7, 8, 9, 70)):
+        texts = ["x" * rng.randint(0, 9) for _ in range(n)]
+        runs += [(1, p, i, t) for i, t in enumerate(texts)]
+        size = sum(map(len, texts))
+        mine = [(a, a + rng.randint(0, 20)) for a in (rng.randrange(size + 1) for _ in range(25))]
+        spans += [(1, p, f"t{k}", a, b) for k, (a, b) in enumerate(mine)]
+        ends = list(itertools.accumulate(map(len, texts)))
+        for k, (a, b) in enumerate(mine):
+            hit = [i for i, t in enumerate(texts) if t and a < ends[i] and b > ends[i] - len(t)]
+            want += [(p, f"t{k}", i, len(hit) * mine.count((a, b)), max(a, ends[i] - len(texts[i])), min(b, ends[i])) for i in hit]
+    table = spark.createDataFrame(spans, "doc_id long, para_ix int, token string, start_at long, end_at long")
+    pieces = spark.createDataFrame(runs, "doc_id long, para_ix int, run_ix int, text string")
+    rows = M.runs_of_error(table, pieces)
+    got = [(r.para_ix, r.token, r.run_ix, r.runs, len(r.middle)) for r in rows.collect()]
+    assert sorted(got) == sorted((p, t, i, n, b - a) for p, t, i, n, a, b in want)
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2
